@@ -1,0 +1 @@
+"""No streaming operators: the analyses covered here are batch only (see README)."""
