@@ -42,6 +42,9 @@ def _keyed_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
 def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], rows: str, how: str = "left",
            hot_rows: int = HOT_ROWS) -> DataFrame:
     """Join one statistics row per key to the rows of ``df``; ``rows`` counts the rows of ``df`` per key."""
+    if not keys:
+        one = F.lit(0).alias("_all")
+        return attach(df.select("*", one), stats.select("*", one), ["_all"], rows, how, hot_rows).drop("_all")
     hot = _hot(stats, rows, hot_rows).select(*keys, F.lit(True).alias("_hot"))
     left = _keyed_join(df, hot, keys, "left", small=True).withColumn(
         # The partition number does not change when a task is run again, so neither does the salt.

@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # Coefficients of Wichura's algorithm AS 241 (PPND16), Applied Statistics 37 (1988), lowest power first.
 _CENTRE_NUM = (3.3871328727963666080, 1.3314166789178437745e2, 1.9715909503065514427e3, 1.3731693765509461125e4,
@@ -54,11 +55,9 @@ def normal_quantile(p: str) -> Column:
     return F.expr(normal_quantile_sql(p))
 
 
-_erfc = np.frompyfunc(math.erfc, 1, 1)
-
-
-def normal_sf(z):
-    return 0.5 * _erfc(np.asarray(z, float) / math.sqrt(2)).astype(float)
+def normal_sf(z) -> np.ndarray:
+    z = np.asarray(z, float) / math.sqrt(2)
+    return 0.5 * np.fromiter(map(math.erfc, z.ravel()), float, z.size).reshape(z.shape)
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -168,37 +167,107 @@ def studentised_range_sf(q: float, k: int, df: float = math.inf) -> float:
 
 
 def _rows(fn, *series: pd.Series) -> pd.Series:
-    out = [math.nan if any(pd.isna(v) for v in row) else fn(*map(float, row)) for row in zip(*series)]
-    return pd.Series([None if math.isnan(v) else v for v in out], dtype="object").astype("Float64")
-
-
-@F.pandas_udf("double")
+    """Row-wise evaluation on a batch, once per distinct argument list; missing in, missing out."""
+    known: dict[tuple, float | None] = {}
+    out = []
+    for row in zip(*series):
+        if any(pd.isna(v) for v in row):
+            out.append(None)
+            continue
+        if row not in known:
+            value = fn(*map(float, row))
+            known[row] = None if math.isnan(value) else value
+        out.append(known[row])
+    return pd.Series(out, dtype="Float64")
+
+
+@F.pandas_udf(DoubleType())
 def p_two_sided_normal(z: pd.Series) -> pd.Series:
     return _rows(lambda v: math.erfc(abs(v) / math.sqrt(2)), z)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def p_upper_normal(z: pd.Series) -> pd.Series:
     return _rows(lambda v: 0.5 * math.erfc(v / math.sqrt(2)), z)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def p_two_sided_t(t: pd.Series, df: pd.Series) -> pd.Series:
     return _rows(t_sf_two_sided, t, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def p_f(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
     return _rows(f_sf, f, df1, df2)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def p_chi2(x: pd.Series, df: pd.Series) -> pd.Series:
     return _rows(chi2_sf, x, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def p_studentised_range(q: pd.Series, k: pd.Series, df: pd.Series) -> pd.Series:
     """Upper tail; a NULL ``df`` stands for infinitely many degrees of freedom."""
     df = df.astype(float).fillna(math.inf)
     return _rows(lambda a, b, c: studentised_range_sf(a, int(b), c), q, k, df)
+
+
+def _upper_quantile(sf, p: float, start: float = 1.0) -> float:
+    """Smallest x with sf(x) <= p for a decreasing tail, by doubling and bisection."""
+    low, high = 0.0, start
+    while sf(high) > p:
+        low, high = high, high * 2
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sf(mid) > p else (low, mid)
+    return (low + high) / 2
+
+
+def studentised_range_quantile(p: float, k: int, df: float) -> float:
+    return _upper_quantile(lambda q: studentised_range_sf(q, k, df), p)
+
+
+def t_quantile_two_sided(p: float, df: float) -> float:
+    return _upper_quantile(lambda t: t_sf_two_sided(t, df), p)
+
+
+@F.pandas_udf(DoubleType())
+def q_studentised_range(p: pd.Series, k: pd.Series, df: pd.Series) -> pd.Series:
+    return _rows(lambda a, b, c: studentised_range_quantile(a, int(b), c), p, k, df)
+
+
+@F.pandas_udf(DoubleType())
+def q_two_sided_t(p: pd.Series, df: pd.Series) -> pd.Series:
+    return _rows(t_quantile_two_sided, p, df)
+
+
+def _rank_sum_counts(m: int, n: int) -> np.ndarray:
+    """Number of arrangements of m and n values for every rank-sum statistic 0..m*n."""
+    # Generating function: product over i of (1 - x^(n+i)) / (1 - x^i), multiplied out exactly in Python integers.
+    size = m * n + 1
+    poly = [0] * size
+    poly[0] = 1
+    for i in range(1, m + 1):
+        for k in range(size - 1, n + i - 1, -1):
+            poly[k] -= poly[k - n - i]
+        for k in range(i, size):
+            poly[k] += poly[k - i]
+    return np.array([float(v) for v in poly])
+
+
+def rank_sum_p(w: float, m: int, n: int, tie_term: float, exact: bool) -> float:
+    """Two-sided p of the rank-sum statistic: exact, or normal with continuity and tie corrections."""
+    if exact:
+        counts = _rank_sum_counts(min(m, n), max(m, n))
+        share = counts / counts.sum()
+        k = int(round(w))
+        tail = share[k:].sum() if w > m * n / 2 else share[: k + 1].sum()
+        return min(2 * float(tail), 1.0)
+    total = m + n
+    centred = w - m * n / 2
+    sigma = math.sqrt(m * n / 12 * ((total + 1) - tie_term / (total * (total - 1))))
+    if sigma == 0:
+        return math.nan
+    z = (centred - math.copysign(0.5, centred) * (centred != 0)) / sigma
+    return math.erfc(abs(z) / math.sqrt(2))

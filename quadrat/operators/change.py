@@ -44,13 +44,13 @@ def add_constant_baseline(df: DataFrame, units: Sequence[str], time: str, value:
 
 def log_wide(df: DataFrame, ids: Sequence[str], name: str, value: str, names: Sequence[str], prefix: str = "ln") -> DataFrame:
     """Natural log per parameter, one column each; values <= 0 become NULL."""
-    cells = df.groupBy(*ids).pivot(name, list(names)).agg(F.first(natural_log(value)))
+    cells = df.groupBy(*ids).pivot(name, list(names)).agg(F.max(natural_log(value)))
     return cells.withColumnsRenamed({n: f"{prefix}{n}" for n in names})
 
 
 def times_wide(df: DataFrame, units: Sequence[str], time: str, value: str, levels: Sequence[str], prefix: str = "T") -> DataFrame:
     """One row per unit with a column per time."""
-    wide = df.groupBy(*units).pivot(time, list(levels)).agg(F.first(value))
+    wide = df.groupBy(*units).pivot(time, list(levels)).agg(F.max(value))
     return wide.withColumnsRenamed({t: f"{prefix}{t}" for t in levels})
 
 

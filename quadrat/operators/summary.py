@@ -75,10 +75,10 @@ def histogram_sturges(df: DataFrame, by: Sequence[str], value: str) -> DataFrame
     stats = [F.count(value).alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi")]
     raw = (F.col("_hi") - F.col("_lo")) / F.col("_k")
     base = F.pow(F.lit(10.0), F.floor(F.log10("_raw")))
-    # Round the width to 1, 2, 5 or 10 times a power of ten: the switch points weigh 5 and 10 a little more.
+    # A width is rounded to 1, 2, 5 or 10 times a power of ten at these switch points.
     step = F.col("_raw") / F.col("_base")
-    nice = (F.when(step < 1.4142857142857144, 1.0).when(step < 2.8571428571428571, 2.0)
-            .when(step < 7.1428571428571432, 5.0).otherwise(10.0))
+    nice = (F.when(step < 1.4, 1.0).when(step < 2.8, 2.0)
+            .when(step < 7.0, 5.0).otherwise(10.0))
     binned = (
         with_group_stats(df.filter(F.col(value).isNotNull()), by, stats)
         .withColumn("_k", classes).withColumn("_raw", raw).filter(F.col("_raw") > 0)
