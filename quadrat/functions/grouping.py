@@ -1,14 +1,10 @@
 """Group statistics, ranks and numbering that hold when one group owns a large share of all rows.
 
-Three ideas are used throughout:
-
-* statistics of a group are aggregated (map-side combined) and joined back, not computed in a window;
-* in that join the rows of a hot group are spread over salts, with its one statistics row copied per salt;
-* ranks are taken over distinct values (ties collapse in the combine), and a hot group is cut into value
-  ranges first, so that the sort of one group is shared by many tasks.
-
-Hot groups are those above ``total / MAX_HOT`` rows, so there are fewer than ``MAX_HOT`` of them: that is the size
-bound of everything broadcast here.
+* Statistics of a group are aggregated (map-side combined) and joined back, never computed in a window over its rows.
+  The NULL-safe join puts a shuffle under both sides, so that adaptive execution can split a hot key's partition, or
+  drop the shuffle of the rows when the statistics turn out small enough to broadcast.
+* Ranks are taken over distinct values (ties collapse in the combine). A group with very many distinct values is cut
+  into value ranges first, so that many tasks share its sort.
 """
 
 from __future__ import annotations
@@ -18,54 +14,52 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_HOT = 1024
-HOT_ROWS = 500_000
-SALTS = 256
-_SIDE = 32  # a hot group is cut into _SIDE * _SIDE value ranges
-
+HOT_ROWS = 500_000   # distinct values of one group that a single task sorts
+MAX_HOT = 1024       # groups cut into ranges; any other group then has less than 1/1024 of all values
+_SIDE = 32           # a hot group is cut into _SIDE * _SIDE value ranges
 
-def _hot(sizes: DataFrame, n: str, floor: int) -> DataFrame:
-    total = sizes.agg(F.sum(n)).scalar()
-    return sizes.filter(F.col(n) > F.greatest(F.lit(float(floor)), total / F.lit(float(MAX_HOT))))
 
-
-def _keyed_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str, small: bool = False) -> DataFrame:
+def keyed_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left", small: bool = False) -> DataFrame:
     """NULL-safe join on equally named keys, keeping the left copy of them."""
-    renamed = right.withColumnsRenamed({k: f"__{k}" for k in keys})
+    right = right.withColumnsRenamed({k: f"__{k}" for k in keys})
     cond = F.lit(True)
     for k in keys:
         cond = cond & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    joined = left.join(F.broadcast(renamed) if small else renamed, cond, how)
-    return joined.drop(*[f"__{k}" for k in keys])
-
-
-def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], rows: str, how: str = "left",
-           hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Join one statistics row per key to the rows of ``df``; ``rows`` counts the rows of ``df`` per key."""
-    if not keys:
-        one = F.lit(0).alias("_all")
-        return attach(df.select("*", one), stats.select("*", one), ["_all"], rows, how, hot_rows).drop("_all")
-    hot = _hot(stats, rows, hot_rows).select(*keys, F.lit(True).alias("_hot"))
-    left = _keyed_join(df, hot, keys, "left", small=True).withColumn(
-        # The partition number does not change when a task is run again, so neither does the salt.
-        "_salt", F.when(F.col("_hot"), F.pmod(F.spark_partition_id(), F.lit(SALTS))).otherwise(F.lit(0))).drop("_hot")
-    right = _keyed_join(stats, hot, keys, "left", small=True).withColumn(
-        "_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-    return _keyed_join(left, right.drop("_hot", rows), [*keys, "_salt"], how).drop("_salt")
-
-
-def with_group_stats(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column], hot_rows: int = HOT_ROWS) -> DataFrame:
+    return left.join(F.broadcast(right) if small else right, cond, how).drop(*[f"__{k}" for k in keys])
+
+
+def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join one statistics row per key to the rows of ``df``; without keys the one row goes to all."""
+    if keys:
+        return keyed_join(df, stats, keys, how)
+    one = stats.select(F.struct(*stats.columns).alias("_one")).agg(F.max("_one")).scalar()
+    return df.withColumn("_one", one).select("*", "_one.*").drop("_one")
+
+
+def with_group_stats(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column]) -> DataFrame:
     """Every row together with the aggregates of its group."""
-    stats = df.groupBy(*keys).agg(*aggs, F.count(F.lit(1)).alias("_rows"))
-    return attach(df, stats, keys, "_rows", hot_rows=hot_rows)
+    return attach(df, df.groupBy(*keys).agg(*aggs), keys)
+
 
+def _range_bounds(df: DataFrame, by: Sequence[str], value: str, hot_rows: int) -> DataFrame | None:
+    """Value bounds of the groups too large for one sort, at most ``MAX_HOT`` rows; None if there are none.
 
-def _value_range(value: str) -> Column:
-    """Number of a row's value range, found coarse bound first and then inside it."""
-    coarse = F.size(F.filter("_coarse", lambda b: b < F.col(value)))
-    fine = F.element_at("_fine", F.col("_c") + 1)
-    inner = F.size(F.filter(fine, lambda b: b < F.col(value)))
-    return coarse, F.col("_c") * F.lit(_SIDE) + inner
+    A sketch of the number of distinct values finds the groups, a quantile sketch their bounds.
+    """
+    sizes = df.groupBy(*by).agg(F.approx_count_distinct(value).alias("_d")).filter(F.col("_d") > hot_rows)
+    hot = sizes.orderBy(F.desc("_d")).limit(MAX_HOT).collect()
+    if not hot:
+        return None
+    rows = df
+    if by:
+        names = df.sparkSession.createDataFrame([r[: len(by)] for r in hot], df.select(*by).schema)
+        rows = keyed_join(df, names, by, "inner", small=True)
+    cuts = _SIDE * _SIDE
+    quantiles = rows.groupBy(*by).agg(
+        F.percentile_approx(value, [i / cuts for i in range(1, cuts)], 20 * cuts).alias("_q"))
+    return quantiles.select(
+        *by, F.expr(f"transform(sequence(1, {_SIDE - 1}), i -> element_at(_q, i * {_SIDE}))").alias("_coarse"),
+        F.expr(f"transform(sequence(0, {_SIDE - 1}), i -> slice(_q, i * {_SIDE} + 1, {_SIDE - 1}))").alias("_fine"))
 
 
 def rank_cells(df: DataFrame, by: Sequence[str], value: str, carry: Sequence[Column] = (),
@@ -76,37 +70,28 @@ def rank_cells(df: DataFrame, by: Sequence[str], value: str, carry: Sequence[Col
     (rows of the group), ``_range`` (value range, 0 unless the group is hot) and the ``carry`` aggregates.
     The average rank of the value is ``before + (ties + 1) / 2``.
     """
-    keys = list(by)
-    cells = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("ties"), *carry)
-    if not keys:
-        keys = ["_all"]
-        cells = cells.withColumn("_all", F.lit(0))
-    sizes = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cells"))
-    hot = _hot(sizes, "_cells", hot_rows).select(*keys)
-    cuts = _SIDE * _SIDE
-    bounds = (
-        _keyed_join(cells, hot, keys, "inner", small=True)
-        .groupBy(*keys)
-        .agg(F.percentile_approx(value, [i / cuts for i in range(1, cuts)], 20 * cuts).alias("_q"))
-        .select(*keys,
-                F.expr(f"transform(sequence(1, {_SIDE - 1}), i -> element_at(_q, i * {_SIDE}))").alias("_coarse"),
-                F.expr(f"transform(sequence(0, {_SIDE - 1}), i -> slice(_q, i * {_SIDE} + 1, {_SIDE - 1}))").alias("_fine")))
-    coarse, number = _value_range(value)
-    cells = (
-        _keyed_join(cells, bounds, keys, "left", small=True)
-        .withColumn("_c", coarse)
-        .withColumn("_range", F.when(F.col("_coarse").isNull(), 0).otherwise(number))
-        .drop("_coarse", "_fine", "_c"))
-    ahead = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = (
-        cells.groupBy(*keys, "_range").agg(F.sum("ties").alias("_n"))
-        .withColumn("_ahead", F.coalesce(F.sum("_n").over(ahead), F.lit(0)))
-        .withColumn("size", F.sum("_n").over(Window.partitionBy(*keys)))
-        .drop("_n"))
-    below = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    placed = cells.withColumn("before", F.coalesce(F.sum("ties").over(below), F.lit(0)))
-    out = _keyed_join(placed, ranges, [*keys, "_range"], "inner")
-    return out.withColumn("before", F.col("before") + F.col("_ahead")).drop("_ahead", "_all")
+    present = df.filter(F.col(value).isNotNull())
+    cells = present.groupBy(*by, value).agg(F.count(F.lit(1)).alias("ties"), *carry)
+    bounds = _range_bounds(present, by, value, hot_rows)
+    start = Window.unboundedPreceding
+    if bounds is None:
+        group = Window.partitionBy(*by)
+        return cells.withColumns({
+            "before": F.coalesce(F.sum("ties").over(group.orderBy(value).rowsBetween(start, -1)), F.lit(0)),
+            "size": F.sum("ties").over(group), "_range": F.lit(0)})
+    marked = keyed_join(cells, bounds, by, "left", small=True)
+    marked = marked.withColumn("_c", F.size(F.filter("_coarse", lambda b: b < F.col(value))))
+    inner = F.size(F.filter(F.element_at("_fine", F.col("_c") + 1), lambda b: b < F.col(value)))
+    marked = marked.withColumn("_range", F.when(F.col("_coarse").isNull(), 0).otherwise(F.col("_c") * _SIDE + inner)).drop(
+        "_coarse", "_fine", "_c")
+    # At most _SIDE * _SIDE range totals per group meet in the small window.
+    group = Window.partitionBy(*by)
+    ranges = marked.groupBy(*by, "_range").agg(F.sum("ties").alias("_n")).withColumns({
+        "_ahead": F.coalesce(F.sum("_n").over(group.orderBy("_range").rowsBetween(start, -1)), F.lit(0)),
+        "size": F.sum("_n").over(group)}).drop("_n")
+    below = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(start, -1)
+    placed = marked.withColumn("before", F.coalesce(F.sum("ties").over(below), F.lit(0)))
+    return keyed_join(placed, ranges, [*by, "_range"], "inner").withColumn("before", F.col("before") + F.col("_ahead")).drop("_ahead")
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float],

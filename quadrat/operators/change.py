@@ -7,15 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrat.functions.grouping import HOT_ROWS, with_group_stats
+from quadrat.functions.grouping import with_group_stats
 from quadrat.functions.semantics import natural_log, ratio, se_of
 
 EPSILON = 1e-6
 
 
 def percent_change(df: DataFrame, units: Sequence[str], time: str, levels: Sequence[str], baseline: str,
-                   values: Sequence[str], epsilon: float = EPSILON, label: str = "diffTimeSeries",
-                   hot_rows: int = HOT_ROWS) -> DataFrame:
+                   values: Sequence[str], epsilon: float = EPSILON, label: str = "diffTimeSeries") -> DataFrame:
     """Percent change of every value column from the baseline time of the same unit.
 
     The baseline is shifted by ``epsilon`` in both places, ``(x - (x0 + e)) / (x0 + e) * 100``, so a zero baseline
@@ -25,7 +24,7 @@ def percent_change(df: DataFrame, units: Sequence[str], time: str, levels: Seque
     """
     wanted = df.filter(F.col(time).isin(list(levels)))
     base = [F.avg(F.when(F.col(time) == baseline, F.col(v))).alias(f"_base_{v}") for v in values]
-    joined = with_group_stats(wanted, units, base, hot_rows).filter(F.col(time) != baseline)
+    joined = with_group_stats(wanted, units, base).filter(F.col(time) != baseline)
     out = {}
     for v in values:
         shifted = F.col(f"_base_{v}") + F.lit(epsilon)

@@ -39,7 +39,7 @@ def shapiro(df: DataFrame, by: Sequence[str], x: str, p_value: bool = True) -> D
     present = df.filter(F.col(x).isNotNull())
     sizes = present.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.var_samp(x).alias("_v"))
     # Only groups of a defined size are sorted, so no sort is larger than 5000 rows.
-    usable = attach(present, sizes.withColumn("_n", F.col("n")), by, "n", "inner").filter(
+    usable = attach(present, sizes.withColumn("_n", F.col("n")), by, "inner").filter(
         F.col("_n").between(low, high) & (F.col("_v") > 0))
     ordered = usable.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(x)))
     scored = ordered.withColumn("_p", (F.col("_i") - 0.375) / (F.col("_n") + 0.25)).withColumn("_m", normal_quantile("_p"))
@@ -66,7 +66,7 @@ def shapiro(df: DataFrame, by: Sequence[str], x: str, p_value: bool = True) -> D
         inner / F.sqrt(phi) + F.col("_an") * F.col("_outer")
         + F.when(two, F.col("_ao") * F.col("_second")).otherwise(F.lit(0.0)))
     tested = wide.select(*by, F.least(line ** 2 / ((F.col("_n") - 1) * F.col("_v")), F.lit(1.0)).alias("w"))
-    out = attach(sizes.drop("_v"), tested.withColumn("_one", F.lit(1)), by, "_one")
+    out = attach(sizes.drop("_v"), tested, by)
     return _shapiro_p(out) if p_value else out
 
 
@@ -206,7 +206,7 @@ def p_adjust(df: DataFrame, by: Sequence[str], p: str = "p", method: str = "BH",
     if method == "none":
         return df.withColumn(name, F.col(p))
     if method == "bonferroni":
-        rows = with_group_stats(df, by, [F.count(p).alias("_m")], hot_rows)
+        rows = with_group_stats(df, by, [F.count(p).alias("_m")])
         return rows.withColumn(name, F.least(F.col(p) * F.col("_m"), F.lit(1.0))).drop("_m")
     if method != "BH":
         raise ValueError(f"unknown method {method!r}")
@@ -217,6 +217,6 @@ def p_adjust(df: DataFrame, by: Sequence[str], p: str = "p", method: str = "BH",
     later = Window.partitionBy(*by).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
     ranges = cells.groupBy(*by, "_range").agg(F.min("_raw").alias("_low")).withColumn("_later", F.min("_low").over(later))
     inside = cells.withColumn("_low_here", F.min("_raw").over(ahead))
-    both = attach(inside, ranges.drop("_low").withColumn("_one", F.lit(1)), [*by, "_range"], "_one")
-    adjusted = both.select(*by, p, "ties", F.least("_low_here", "_later", F.lit(1.0)).alias(name))
-    return attach(df, adjusted, [*by, p], "ties", hot_rows=hot_rows)
+    both = attach(inside, ranges.drop("_low"), [*by, "_range"])
+    adjusted = both.select(*by, p, F.least("_low_here", "_later", F.lit(1.0)).alias(name))
+    return attach(df, adjusted, [*by, p])

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadrat.functions.grouping import HOT_ROWS, attach
+from quadrat.functions.grouping import attach
 from quadrat.functions.semantics import level_ordinal, ratio
 from quadrat.functions.tails import f_sf, p_studentised_range, q_studentised_range
 
@@ -117,19 +117,19 @@ def anova(df: DataFrame, by: Sequence[str], factors: Sequence[str], y: str,
 
 
 def residuals(df: DataFrame, by: Sequence[str], factors: Sequence[str], y: str,
-              terms: Sequence[Sequence[str]] | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+              terms: Sequence[Sequence[str]] | None = None) -> DataFrame:
     """The rows with their fitted value and residual."""
     cells = design_cells(df, by, factors, y)
     if terms is None:  # every cell has its own mean
-        fits = cells.select(*by, *factors, F.col("_mean").alias("fitted"), "_n")
+        fits = cells.select(*by, *factors, F.col("_mean").alias("fitted"))
     else:
-        schema = T.StructType([*_key_fields(cells, [*by, *factors]), *T.StructType.fromDDL("fitted double, _n long").fields])
+        schema = T.StructType([*_key_fields(cells, [*by, *factors]), *T.StructType.fromDDL("fitted double").fields])
 
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             return pdf.assign(fitted=_sequential_fit(pdf, terms)[4])[[f.name for f in schema.fields]]
 
         fits = cells.groupBy(*by).applyInPandas(run, schema)
-    rows = attach(df, fits, [*by, *factors], "_n", hot_rows=hot_rows)
+    rows = attach(df, fits, [*by, *factors])
     return rows.withColumn("residual", F.col(y) - F.col("fitted"))
 
 
@@ -160,7 +160,7 @@ def emmeans_pairwise(df: DataFrame, by: Sequence[str], factor: str, within: str,
     cells = design_cells(df, by, [factor, within], y)
     pooled = _pooled(cells, by)
     pairs = _level_pairs(cells, [*by, within], factor, levels)
-    out = attach(pairs, pooled.withColumn("_one", F.lit(1)), by, "_one")
+    out = attach(pairs, pooled, by)
     se = F.sqrt(F.col("_s2") * (1 / F.col("a._n") + 1 / F.col("b._n")))
     out = out.select(*by, within, F.concat_ws(" - ", "a.level", "b.level").alias("contrast"),
                      (F.col("a._mean") - F.col("b._mean")).alias("estimate"), se.alias("se"),
@@ -184,7 +184,7 @@ def tukey_hsd(df: DataFrame, by: Sequence[str], factors: Sequence[str], y: str,
     means = cells.groupBy(*by, which).agg(F.sum("_n").alias("_n"), (F.sum(F.col("_mean") * F.col("_n")) / F.sum("_n")).alias("_mean"))
     pairs = _level_pairs(means, by, which, levels)
     pooled = _pooled(cells, by)
-    out = attach(pairs, pooled.withColumn("_one", F.lit(1)), by, "_one")
+    out = attach(pairs, pooled, by)
     se = F.sqrt(F.col("_s2") / 2 * (1 / F.col("a._n") + 1 / F.col("b._n")))
     out = out.select(*by, F.concat_ws("-", "b.level", "a.level").alias("contrast"),
                      (F.col("b._mean") - F.col("a._mean")).alias("diff"), se.alias("se"), F.col("_dfr").alias("df"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrat.functions.grouping import HOT_ROWS, attach, exact_quantiles, rank_cells, with_group_stats
+from quadrat.functions.grouping import HOT_ROWS, attach, exact_quantiles, keyed_join, rank_cells, with_group_stats
 from quadrat.functions.semantics import mean_of, ratio, sd_of, se_of
 
 
@@ -36,28 +36,24 @@ def median_iqr(df: DataFrame, by: Sequence[str], value: str, hot_rows: int = HOT
 def box_summary(df: DataFrame, by: Sequence[str], value: str, reach: float = 1.5, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Five numbers, whisker ends (the extreme values within ``reach`` IQR of the box) and number of outliers."""
     q = exact_quantiles(df, by, value, {"min": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "max": 1.0}, hot_rows)
-    fenced = _within_fences(df, by, value, q, reach, hot_rows)
+    fenced = _within_fences(df, by, value, q, reach)
     ends = fenced.groupBy(*by).agg(
         F.min(F.when(F.col("_in"), F.col(value))).alias("whisker_low"),
         F.max(F.when(F.col("_in"), F.col(value))).alias("whisker_high"),
         F.count_if(~F.col("_in")).alias("outliers"))
-    cond = F.lit(True)
-    ends = ends.withColumnsRenamed({k: f"__{k}" for k in by})
-    for k in by:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    return q.join(ends, cond).drop(*[f"__{k}" for k in by])
+    return keyed_join(q, ends, by, "inner")
 
 
 def box_outliers(df: DataFrame, by: Sequence[str], value: str, reach: float = 1.5, hot_rows: int = HOT_ROWS) -> DataFrame:
     """The rows beyond the whiskers."""
     q = exact_quantiles(df, by, value, {"q1": 0.25, "q3": 0.75}, hot_rows)
-    return _within_fences(df, by, value, q, reach, hot_rows).filter(~F.col("_in")).select(df.columns)
+    return _within_fences(df, by, value, q, reach).filter(~F.col("_in")).select(df.columns)
 
 
-def _within_fences(df, by, value, q, reach, hot_rows):
+def _within_fences(df, by, value, q, reach):
     width = F.lit(reach) * (F.col("q3") - F.col("q1"))
-    fences = q.select(*by, "n", (F.col("q1") - width).alias("_low"), (F.col("q3") + width).alias("_high"))
-    rows = attach(df.filter(F.col(value).isNotNull()), fences, by, "n", "inner", hot_rows)
+    fences = q.select(*by, (F.col("q1") - width).alias("_low"), (F.col("q3") + width).alias("_high"))
+    rows = attach(df.filter(F.col(value).isNotNull()), fences, by, "inner")
     return rows.withColumn("_in", F.col(value).between(F.col("_low"), F.col("_high")))
 
 
@@ -66,7 +62,7 @@ def histogram(df: DataFrame, by: Sequence[str], value: str, width: float) -> Dat
     # The default of the plotting convention followed here is that the bins are centred, closed on the right.
     number = F.ceil((F.col(value) / F.lit(float(width))) - F.lit(0.5))
     return (df.filter(F.col(value).isNotNull())
-            .groupBy(*by, (number * F.lit(float(width))).alias("bin")).agg(F.count(F.lit(1)).alias("n")))
+            .groupBy(*by, (number * F.lit(float(width)) + F.lit(0.0)).alias("bin")).agg(F.count(F.lit(1)).alias("n")))
 
 
 def histogram_sturges(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -97,17 +93,17 @@ def group_max_ranked(df: DataFrame, by: Sequence[str], value: str, name: str = "
 def average_ranks(df: DataFrame, by: Sequence[str], value: str, name: str = "avg_rank", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Every row with the average rank of its value inside the group; NULL values keep a NULL rank."""
     cells = rank_cells(df, by, value, hot_rows=hot_rows)
-    ranks = cells.select(*by, value, "ties", (F.col("before") + (F.col("ties") + 1) / 2).alias(name))
-    return attach(df, ranks, [*by, value], "ties", hot_rows=hot_rows)
+    ranks = cells.select(*by, value, (F.col("before") + (F.col("ties") + 1) / 2).alias(name))
+    return attach(df, ranks, [*by, value])
 
 
-def share_of_total(df: DataFrame, by: Sequence[str], value: str, name: str = "share", hot_rows: int = HOT_ROWS) -> DataFrame:
+def share_of_total(df: DataFrame, by: Sequence[str], value: str, name: str = "share") -> DataFrame:
     """Value divided by the total of its group."""
-    rows = with_group_stats(df, by, [F.sum(value).alias("_total")], hot_rows)
+    rows = with_group_stats(df, by, [F.sum(value).alias("_total")])
     return rows.withColumn(name, ratio(value, "_total")).drop("_total")
 
 
-def share_of_max(df: DataFrame, by: Sequence[str], value: str, name: str = "share", hot_rows: int = HOT_ROWS) -> DataFrame:
+def share_of_max(df: DataFrame, by: Sequence[str], value: str, name: str = "share") -> DataFrame:
     """Value divided by the largest value of its group."""
-    rows = with_group_stats(df, by, [F.max(value).alias("_max")], hot_rows)
+    rows = with_group_stats(df, by, [F.max(value).alias("_max")])
     return rows.withColumn(name, ratio(value, "_max")).drop("_max")
