@@ -73,6 +73,7 @@ FROM events GROUP BY ALL"""
 CTE = {
     "measures": _measures_sql("user_id"),
     "pooled": _measures_sql("(user_id % 36)"),
+    "rounded_measures": "SELECT unit, param, treatment, time, round(value, 1) AS value FROM measures",
     "change": """
 SELECT m.unit, m.param, m.treatment, 'diff_' || m.time AS "diffTimeSeries",
        (m.value - (b.value + 1e-6)) / (b.value + 1e-6) * 100 AS value
@@ -95,7 +96,7 @@ FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
 SELECT l_suppkey AS sample_id, avg(l_quantity) AS qty, avg(l_discount) AS disc, avg(l_tax) AS tax,
        avg(l_extendedprice) AS price FROM lineitem GROUP BY ALL""",
 }
-_NEEDS = {"change": ["measures"], "pooled_change": ["pooled"]}
+_NEEDS = {"rounded_measures": ["measures"], "change": ["measures"], "pooled_change": ["pooled"]}
 
 
 def with_ctes(names: str, body: str) -> str:
