@@ -92,7 +92,7 @@ h AS (SELECT g.param, g.time, n, (12.0::DOUBLE / (n * (n + 1.0::DOUBLE)) * sum(r
 FROM g JOIN c ON c.param = g.param AND c.time = g.time GROUP BY g.param, g.time, n)
 SELECT param, time, n, round(h, 6) AS h, CAST(2 AS INTEGER) AS df, round(exp(-h / 2), 6) AS p FROM h""", "rounded_measures")
 def kruskal_by_time(t):
-    m = t.measures().withColumn("value", F.round("value", 1))
+    m = t.measures().withColumn("value", F.round("value", 9))
     return rounded(H.kruskal_wallis(m, ["param", "time"], "treatment", LEVELS, "value"), 6, "h", "p")
 
 

@@ -73,7 +73,7 @@ FROM events GROUP BY ALL"""
 CTE = {
     "measures": _measures_sql("user_id"),
     "pooled": _measures_sql("(user_id % 36)"),
-    "rounded_measures": "SELECT unit, param, treatment, time, round(value, 1) AS value FROM measures",
+    "rounded_measures": "SELECT unit, param, treatment, time, round(value, 9) AS value FROM measures",
     "change": """
 SELECT m.unit, m.param, m.treatment, 'diff_' || m.time AS "diffTimeSeries",
        (m.value - (b.value + 1e-6)) / (b.value + 1e-6) * 100 AS value
