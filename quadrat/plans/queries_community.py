@@ -122,10 +122,10 @@ def _bray_written(t):
 
 
 @query(_BRAY_TAXA + _PERM + """, lab AS (SELECT perm, h.sample_id, s.region AS g FROM moved m JOIN home h ON h.pos = m.pos JOIN samples s ON s.sample_id = m.source),
-n AS (SELECT region AS g, count(*) AS n FROM samples GROUP BY 1), tot AS (SELECT sum(n) AS n, count(*) AS k FROM n), sst AS (SELECT sum(d * d) AS s FROM dist),
+n AS (SELECT region AS g, count(*) AS n FROM samples GROUP BY 1), size_of AS (SELECT sum(n) AS n, count(*) AS k FROM n), sst AS (SELECT sum(d * d) AS s FROM dist),
 w AS (SELECT a.perm, sum(s.d2 / n.n) AS ssw FROM (SELECT a.perm, a.g, sum(d * d) AS d2 FROM dist JOIN lab a ON a.sample_id = id_a JOIN lab b ON b.sample_id = id_b AND b.perm = a.perm AND b.g = a.g GROUP BY 1, 2) s
  JOIN n ON n.g = s.g JOIN (SELECT DISTINCT perm FROM lab) a ON a.perm = s.perm GROUP BY 1),
-f AS (SELECT perm, sst.s / n AS ss_t, ssw, ((sst.s / n - ssw) / (k - 1)) / (ssw / (n - k)) AS f FROM w, tot, sst)
+f AS (SELECT perm, sst.s / n AS ss_t, ssw, ((sst.s / n - ssw) / (k - 1)) / (ssw / (n - k)) AS f FROM w, size_of, sst)
 SELECT 'region' AS term, round(ss_t - ssw, 7) AS ss, round(1 - ssw / ss_t, 7) AS r2, round(f, 6) AS pseudo_f,
 (1.0 + (SELECT count(*) FROM f x WHERE x.perm > 0 AND x.f >= f.f - 1e-9 * greatest(abs(f.f), 1))) / 200.0 AS p FROM f WHERE perm = 0""", "counts samples")
 def permanova_one_way(t):
@@ -242,7 +242,7 @@ def _nation_counts(t):
 
 @query()
 def nmds_of_nations(t):
-    return O.ordinate_nmds(cut_lineage(K.bray_curtis(_nation_counts(t))), iterations=10)
+    return O.ordinate_nmds(cut_lineage(K.bray_curtis(_nation_counts(t))), iterations=5)
 
 
 @query()
