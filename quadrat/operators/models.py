@@ -144,8 +144,8 @@ def _level_pairs(cells: DataFrame, by: Sequence[str], factor: str, levels: Seque
     ranked = cells.withColumn("_o", level_ordinal(factor, levels)).filter(F.col("_o").isNotNull())
     held = ranked.groupBy(*by).agg(F.array_sort(F.collect_list(
         F.struct("_o", F.col(factor).alias("level"), "_n", "_mean"))).alias("_cells"))
-    first = held.select(*by, "_cells", F.explode("_cells").alias("a"))
-    return first.select(*by, "a", F.explode(F.filter("_cells", lambda c: c["_o"] > F.col("a._o"))).alias("b"))
+    first = held.select(*by, "_cells", F.explode("_cells").alias("_first"))
+    return first.select(*by, "_first", F.explode(F.filter("_cells", lambda c: c["_o"] > F.col("_first._o"))).alias("_second"))
 
 
 def emmeans_pairwise(df: DataFrame, by: Sequence[str], factor: str, within: str, levels: Sequence[str], y: str,
@@ -161,9 +161,9 @@ def emmeans_pairwise(df: DataFrame, by: Sequence[str], factor: str, within: str,
     pooled = _pooled(cells, by)
     pairs = _level_pairs(cells, [*by, within], factor, levels)
     out = attach(pairs, pooled, by)
-    se = F.sqrt(F.col("_s2") * (1 / F.col("a._n") + 1 / F.col("b._n")))
-    out = out.select(*by, within, F.concat_ws(" - ", "a.level", "b.level").alias("contrast"),
-                     (F.col("a._mean") - F.col("b._mean")).alias("estimate"), se.alias("se"),
+    se = F.sqrt(F.col("_s2") * (1 / F.col("_first._n") + 1 / F.col("_second._n")))
+    out = out.select(*by, within, F.concat_ws(" - ", "_first.level", "_second.level").alias("contrast"),
+                     (F.col("_first._mean") - F.col("_second._mean")).alias("estimate"), se.alias("se"),
                      F.col("_dfr").cast("double").alias("df"))
     out = out.withColumn("ratio", ratio("estimate", "se"))
     if df_mode == "inf":
@@ -185,9 +185,9 @@ def tukey_hsd(df: DataFrame, by: Sequence[str], factors: Sequence[str], y: str,
     pairs = _level_pairs(means, by, which, levels)
     pooled = _pooled(cells, by)
     out = attach(pairs, pooled, by)
-    se = F.sqrt(F.col("_s2") / 2 * (1 / F.col("a._n") + 1 / F.col("b._n")))
-    out = out.select(*by, F.concat_ws("-", "b.level", "a.level").alias("contrast"),
-                     (F.col("b._mean") - F.col("a._mean")).alias("diff"), se.alias("se"), F.col("_dfr").alias("df"))
+    se = F.sqrt(F.col("_s2") / 2 * (1 / F.col("_first._n") + 1 / F.col("_second._n")))
+    out = out.select(*by, F.concat_ws("-", "_second.level", "_first.level").alias("contrast"),
+                     (F.col("_second._mean") - F.col("_first._mean")).alias("diff"), se.alias("se"), F.col("_dfr").alias("df"))
     if not p_value:
         return out
     k, dfr = F.lit(len(levels)), F.col("df").cast("double")
