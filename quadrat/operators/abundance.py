@@ -32,7 +32,7 @@ def size_factors(counts: DataFrame, samples: DataFrame, sample: str = "sample_id
                  count: str = "count") -> DataFrame:
     """Median over taxa of count / geometric mean; only taxa found in every sample enter."""
     total = samples.select(F.count_distinct(sample)).scalar()
-    logs = counts.filter(F.col(count) > 0).withColumn("_log", F.log(F.col(count).cast("double")))
+    logs = _combined(counts, sample, taxon, count).filter(F.col(count) > 0).withColumn("_log", F.log(F.col(count).cast("double")))
     geo = logs.groupBy(taxon).agg(F.avg("_log").alias("_geo"), F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == total)
     ratios = logs.join(geo.select(taxon, "_geo"), taxon).select(sample, (F.col("_log") - F.col("_geo")).alias("_r"))
     return exact_quantiles(ratios, [sample], "_r", {"_m": 0.5}).select(sample, F.exp("_m").alias("size_factor"))
@@ -131,6 +131,11 @@ def _by_bucket(cells: DataFrame, design: DataFrame, fields: str, per_taxa, sampl
     return left.groupBy("_bucket").cogroup(right.groupBy("_bucket")).applyInPandas(run, schema)
 
 
+def _combined(counts: DataFrame, sample: str, taxon: str, count: str) -> DataFrame:
+    """One row per sample and taxon, so that a taxon brings no more rows than there are samples."""
+    return counts.groupBy(sample, taxon).agg(F.sum(count).alias(count))
+
+
 def _coded_design(samples: DataFrame, factors: DataFrame, group: str, levels: Sequence[str], sample: str) -> DataFrame:
     code = F.array_position(F.array(*[F.lit(v) for v in levels]), F.col(group)) - 1
     return (samples.select(sample, code.cast("int").alias("_group")).filter("_group >= 0")
@@ -142,7 +147,7 @@ def dispersion(counts: DataFrame, samples: DataFrame, factors: DataFrame, group:
     """Per taxon: mean, own dispersion, trend value, shrunken (final) dispersion. The result is checkpointed."""
     k = len(levels)
     design = cut_lineage(_coded_design(samples, factors, group, levels, sample))
-    cells = counts.select(sample, taxon, count)
+    cells = _combined(counts, sample, taxon, count)
     n = design.count()
 
     def own(taxa, y, s, g, _):
@@ -227,7 +232,7 @@ def nb_wald(counts: DataFrame, samples: DataFrame, factors: DataFrame, group: st
     if dispersions is None:
         dispersions = dispersion(counts, samples, factors, group, levels, sample, taxon, count)
     design = _coded_design(samples, factors, group, levels, sample)
-    cells = attach(counts.select(sample, taxon, count), dispersions.select(taxon, "base_mean", "dispersion"), [taxon], "inner")
+    cells = attach(_combined(counts, sample, taxon, count), dispersions.select(taxon, "base_mean", "dispersion"), [taxon], "inner")
 
     def test(taxa, y, s, g, extra):
         alpha = extra["dispersion"]

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrat.functions.grouping import number_keys
+from quadrat.functions.grouping import keyed_join, number_keys
 from quadrat.functions.semantics import level_ordinal
 
 
@@ -82,7 +82,7 @@ def pivot(df: DataFrame, ids: Sequence[str], names_from: str, names: Sequence[st
 
 def complete_samples(df: DataFrame, samples: DataFrame, key: str, values: Sequence[str], fill: float = 0.0) -> DataFrame:
     """Add the samples that are missing from ``df`` with the fill value in every value column."""
-    absent = samples.select(key).distinct().join(df.select(key), key, "left_anti")
+    absent = keep_unmatched(samples.select(key).distinct(), df, [key])
     filled = absent.withColumns({v: F.lit(fill).cast(df.schema[v].dataType) for v in values})
     return df.unionByName(filled, allowMissingColumns=True)
 
@@ -103,11 +103,13 @@ def lookup(df: DataFrame, dim: DataFrame, keys: dict[str, str] | Sequence[str],
 
 
 def keep_matching(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.join(other.select(*keys), list(keys), "left_semi")
+    """Rows whose key occurs in the other table; a missing key matches a missing key."""
+    return keyed_join(df, other.select(*keys).distinct(), keys, "left_semi")
 
 
 def keep_unmatched(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.join(other.select(*keys), list(keys), "left_anti")
+    """Rows whose key does not occur in the other table."""
+    return keyed_join(df, other.select(*keys).distinct(), keys, "left_anti")
 
 
 def bind_columns(left: DataFrame, right: DataFrame, key: str | Sequence[str]) -> DataFrame:
