@@ -50,19 +50,19 @@ def _long_sites(t):
 _LONG = "+long AS (UNPIVOT site_variables ON qty, disc, tax, price INTO NAME variable VALUE value) "
 
 
-@query("SELECT sample_id, taxon_id, count, round(count / sum(count) OVER (PARTITION BY sample_id), 9) AS share FROM part_counts", "part_counts")
+@query("SELECT sample_id, taxon_id, count, round(count / sum(count) OVER (PARTITION BY sample_id), 12) AS share FROM part_counts", "part_counts")
 def standardize_sample_total(t):
-    return rounded(K.standardize(t.part_counts(), "total", 1), 9, "share")
+    return rounded(K.standardize(t.part_counts(), "total", 1), 12, "share")
 
 
-@query(_LONG + "SELECT sample_id, variable, round(value / sum(value) OVER (PARTITION BY variable), 9) AS share FROM long", "site_variables")
+@query(_LONG + "SELECT sample_id, variable, round(value / sum(value) OVER (PARTITION BY variable), 12) AS share FROM long", "site_variables")
 def standardize_variable_total(t):
-    return rounded(K.standardize(_long_sites(t), "total", 2, variable="variable", value="value").drop("value"), 9, "share")
+    return rounded(K.standardize(_long_sites(t), "total", 2, variable="variable", value="value").drop("value"), 12, "share")
 
 
-@query(_LONG + "SELECT sample_id, variable, round(value / max(value) OVER (PARTITION BY variable), 9) AS share FROM long", "site_variables")
+@query(_LONG + "SELECT sample_id, variable, round(value / max(value) OVER (PARTITION BY variable), 12) AS share FROM long", "site_variables")
 def standardize_variable_max(t):
-    return rounded(K.standardize(_long_sites(t), "max", 2, variable="variable", value="value").drop("value"), 9, "share")
+    return rounded(K.standardize(_long_sites(t), "max", 2, variable="variable", value="value").drop("value"), 12, "share")
 
 
 _BRAY = """+tot AS (SELECT sample_id, sum(count) AS s FROM {c} GROUP BY 1),
@@ -224,7 +224,7 @@ def factor_centroids(t):
 @query(_COORDS + """, s AS (SELECT region, avg(axis1) AS m1, avg(axis2) AS m2, var_samp(axis1) AS a, var_samp(axis2) AS b, covar_samp(axis1, axis2) AS c FROM coords JOIN samples USING (sample_id) GROUP BY 1),
 k AS (SELECT *, unnest(range(0, 101)) AS point FROM s)
 SELECT region, CAST(point AS INTEGER) AS point, round(m1 + sqrt(a) * cos(point * 2 * pi() / 100), 6) AS x,
-round(m2 + c / sqrt(a) * cos(point * 2 * pi() / 100) + sqrt(b - c * c / a) * sin(point * 2 * pi() / 100), 6) AS y FROM k""", "site_variables samples")
+round(m2 + c / sqrt(a) * cos(point * 2 * pi() / 100) + sqrt(greatest(b - c * c / a, 0)) * sin(point * 2 * pi() / 100), 6) AS y FROM k""", "site_variables samples")
 def group_ellipses(t):
     return rounded(O.group_ellipses(_coords(t), t.samples(), "region"), 6, "x", "y")
 

@@ -294,9 +294,9 @@ def average_ranks(t):
     return S.average_ranks(rows, ["o_orderpriority"], "v").drop("v")
 
 
-@query("SELECT sample_id, taxon_id, round(count / sum(count) OVER (PARTITION BY sample_id), 9) AS share FROM counts", "counts")
+@query("SELECT sample_id, taxon_id, round(count / sum(count) OVER (PARTITION BY sample_id), 12) AS share FROM counts", "counts")
 def share_of_total(t):
-    return rounded(S.share_of_total(t.counts(), ["sample_id"], "count").drop("count"), 9, "share")
+    return rounded(S.share_of_total(t.counts(), ["sample_id"], "count").drop("count"), 12, "share")
 
 
 @query("SELECT o_orderkey, o_totalprice, o_orderdate FROM orders ORDER BY o_totalprice DESC, o_orderkey")
