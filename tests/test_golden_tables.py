@@ -20,11 +20,10 @@ def stored(path, first=None, last=None):
 
 @pytest.fixture(scope="module")
 def dims(spark, study):
-    db = study / "Bean_SoilMicrobe_Database"
     return {
-        "samples": scan_tsv(spark, f"{db}/2018luLab_ID.txt", "Plot int, lab_id int, SampDate string"),
-        "plots": clean_keys(scan_tsv(spark, f"{db}/2018luPlots.txt", "Plot string, Block string, Treatment string"), "Plot"),
-        "periods": scan_tsv(spark, f"{db}/2018luSamplePeriods.txt", "SampDate string, GrazeTime string"),
+        "samples": scan_tsv(spark, str(study["Sample lookup"]), "Plot int, lab_id int, SampDate string"),
+        "plots": clean_keys(scan_tsv(spark, str(study["Plot lookup"]), "Plot string, Block string, Treatment string"), "Plot"),
+        "periods": scan_tsv(spark, str(study["Period lookup"]), "SampDate string, GrazeTime string"),
     }
 
 
@@ -33,14 +32,14 @@ CHEM = ["NO3_mgkgdrysoil", "NH4_mgkgdrysoil", "mineralN_mgkgdrysoil", "NPOC_mgkg
 
 @pytest.fixture(scope="module")
 def chemistry(spark, study, dims):
-    raw = scan_tsv(spark, f"{study}/Bean_SoilMicrobe_Database/2018tblminN_NPOC_DON.txt",
+    raw = scan_tsv(spark, str(study["Chemistry, wide"]),
                    "lab_ID int, " + ", ".join(f"{c} double" for c in CHEM))
     return conform(raw, **dims, sample_key={"lab_ID": "lab_id"}, drop=["lab_ID", "SampDate"]).cache()
 
 
 @pytest.fixture(scope="module")
 def enzymes(spark, study, dims):
-    raw = scan_tsv(spark, f"{study}/Bean_SoilMicrobe_Database/2018tblEnzymes_Vertical.txt",
+    raw = scan_tsv(spark, str(study["Enzymes, long"]),
                    "lab_ID int, Substrate string, Enzyme_nm_g_hr double, RunDay string")
     return conform(drop_columns(raw, "RunDay"), **dims, sample_key={"lab_ID": "lab_id"},
                    drop=["lab_ID", "SampDate"]).cache()
@@ -62,21 +61,20 @@ def same_rows(df, path, digits=9):
 
 
 def test_conformed_tables(spark, study, dims, chemistry, enzymes):
-    same_rows(chemistry, study / "2018CN.txt")
-    same_rows(enzymes, study / "2018Enzymes.txt")
-    db = study / "Bean_SoilMicrobe_Database"
-    moist = scan_tsv(spark, f"{db}/2018tblGravMoisture.txt", "lab_ID int, grav_mois double, decimalgravmois double")
+    same_rows(chemistry, study["Joined chemistry"])
+    same_rows(enzymes, study["Joined enzymes"])
+    moist = scan_tsv(spark, str(study["Moisture"]), "lab_ID int, grav_mois double, decimalgravmois double")
     moist = rename(drop_columns(moist, "grav_mois"), gravmois="decimalgravmois")
-    same_rows(conform(moist, **dims, sample_key={"lab_ID": "lab_id"}, drop=["lab_ID", "SampDate"]), study / "2018gravmois.txt")
-    rpm = scan_tsv(spark, f"{db}/2018tblRPM.txt", "Plot int, SampDate string, reading_rpm double, biomass_kg_plot double")
+    same_rows(conform(moist, **dims, sample_key={"lab_ID": "lab_id"}, drop=["lab_ID", "SampDate"]), study["Joined moisture"])
+    rpm = scan_tsv(spark, str(study["Biomass readings"]), "Plot int, SampDate string, reading_rpm double, biomass_kg_plot double")
     rpm = conform(rpm, dims["samples"], dims["plots"], dims["periods"],
                   sample_key={"Plot": "Plot", "SampDate": "SampDate"}, drop=["lab_id", "SampDate"])
-    same_rows(rpm, study / "2018RPM.txt")
+    same_rows(rpm, study["Joined biomass"])
 
 
 def test_nitrate_summary(study, chemistry):
     out = mean_se(chemistry.filter("Block != '4'"), ["Treatment", "GrazeTime"], {"NO3_mgkgdrysoil": "nitr"}, digits=3)
-    same_rows(out, study / "nitrate-summary.txt", 3)
+    same_rows(out, study["Group mean/SE"], 3)
 
 
 def test_percent_change_summary(study, chemistry):
@@ -85,7 +83,7 @@ def test_percent_change_summary(study, chemistry):
     out = mean_se(change, ["Treatment", "diffTimeSeries"],
                   {"DON_mgkgdrysoil": "DON", "grav_mois": "Grav", "NH4_mgkgdrysoil": "NH4", "NPOC_mgkgdrysoil": "DOC"})
     got = {(r["Treatment"], r["diffTimeSeries"]): r for r in out.collect()}
-    want = stored(study / "biophys-percentchange-sum.txt")
+    want = stored(study["Percent change summary"])
     assert len(got) == len(want) == 9
     for w in want:
         row = got[w["Treatment"], w["diffTimeSeries"]]
@@ -107,11 +105,11 @@ def test_enzyme_change_summary(study, enzymes, chemistry):
     names = [e for e in ENZYMES if e != "PER1"]
     change = percent_change(enzyme_wide(enzymes, chemistry), IDS, "GrazeTime", TIMES, "PRE", names)
     out = mean_se(change, ["Treatment", "diffTimeSeries"], {n: f"_{n}" for n in names}, digits=2)
-    same_rows(out, study / "enzymes-summary.txt", 2)
+    same_rows(out, study["Enzyme percent change"], 2)
 
 
 def test_raw_reader_marks_missing(spark, study):
-    raw = scan_tsv(spark, f"{study}/Bean_SoilMicrobe_Database/tblBiomass.txt",
+    raw = scan_tsv(spark, str(study.with_column("Drywt")),
                    "Plot int, SampDate timestamp, Sample int, Drywt double, Bagwt double, DryMWt double")
     missing = raw.filter(F.col("Drywt").isNull() | F.col("Bagwt").isNull() | F.col("DryMWt").isNull())
     assert raw.count() == 120 and missing.count() == 60
@@ -128,7 +126,7 @@ def enzyme_changes(enzymes, chemistry):
 def test_enzyme_f_table(study, enzymes, chemistry):
     from quadrat.operators.models import anova
     got = {(r["Type"], r["term"]): r for r in anova(enzyme_changes(enzymes, chemistry), ["Type"], ["Time", "Treatment"], "value").collect()}
-    want = stored(study / "results" / "enzyme-GLM-output.txt")
+    want = stored(study["Sequential F table"])
     assert len(got) == len(want) == 54
     names = {"Time": "Time", "Treatment": "Treatment", "Interaction": "Time:Treatment"}
     for w in want:
@@ -153,8 +151,8 @@ def test_stored_contrasts(study, chemistry):
     got_time = {(r["name"], r["contrast"], r["Treatment"]): r for r in by_time}
     got_trt = {(r["name"], r["contrast"], r["Time"]): r for r in by_trt}
     seen = 0
-    for path, got, other in ((study / "GLM-posthoc-Time.txt", got_time, "Treatment"),
-                             (study / "GLM-posthoc-Treatment.txt", got_trt, "Time")):
+    for path, got, other in ((study["Contrasts over time"], got_time, "Treatment"),
+                             (study["Contrasts over treatment"], got_trt, "Time")):
         for w in stored(path, 39, 130 if other == "Treatment" else 88):
             row = got.get((PARAMS.get(w["Param"]), w["contrast"], w[other]))
             if row is None:
