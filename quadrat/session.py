@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import os
-import tempfile
+import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,18 +26,31 @@ def local_session(cores: str = "8", app: str = "quadrat") -> SparkSession:
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder the session names, so that a lost executor costs no replay.
+def checkpoint_base(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; where it is unset, one below the warehouse, which a cluster must share too."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+        if not spark.sparkContext.master.startswith("local") and re.match(r"file:|/", base):
+            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+    return base
+
 
-    A folder of our own is made only for a local master with no folder set.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint to the shared folder the session names, so that a lost executor costs no replay."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-            folder = tempfile.mkdtemp(prefix="quadrat-checkpoint-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(checkpoint_base(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """Path of a new folder for files that driver and executors share."""
+    return f"{checkpoint_base(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet to a new shared folder and read it back: cuts lineage and survives lost executors."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
