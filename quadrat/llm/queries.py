@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadrat.llm import packing, token_store
-from quadrat.session import shared_folder
+from quadrat.llm import mixing, packing, token_store
+from quadrat.session import shared_folder, stored
 from quadrat.sources.tables import scan_parquet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,38 @@ def op1_token_store(spark: SparkSession, folder: str) -> DataFrame:
     return token_store.read_store(spark, store)
 
 
+@query
+def op2_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    sized = scan_parquet(spark, folder, "documents").select("doc_id", "source", mixing.n_words("text").alias("size"))
+    return mixing.shares(stored(sized, "sizes")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+SQL["op2_mix_sources"] = r"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':17') AS k FROM documents),
+sums AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+weighted AS (
+  SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w,
+         (SELECT sum(source_size) FROM sums)::DOUBLE AS total FROM sums),
+levels AS (
+  SELECT a.source, a.source_size, a.w, 3.0::DOUBLE * a.source_size AS most,
+         (a.total - coalesce((SELECT sum(3.0::DOUBLE * b.source_size) FROM weighted b WHERE 3.0::DOUBLE * b.source_size / b.w < 3.0::DOUBLE * a.source_size / a.w), 0))
+       / (SELECT sum(b.w) FROM weighted b WHERE NOT (3.0::DOUBLE * b.source_size / b.w < 3.0::DOUBLE * a.source_size / a.w)) AS level FROM weighted a),
+targets AS (
+  SELECT source, source_size, CASE WHEN most / w < level THEN most
+         ELSE w * (SELECT max(level) FROM levels WHERE NOT most / w < level) END AS target FROM levels),
+placed AS (
+  SELECT s.doc_id, s.size, t.source_size, t.target, CAST(floor(t.target) AS BIGINT) AS budget,
+         sum(s.size) OVER (PARTITION BY s.source ORDER BY s.k, s.doc_id, s.size ROWS UNBOUNDED PRECEDING) - s.size AS before
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       CAST(CASE WHEN source_size = 0 THEN 0 ELSE (budget // source_size) * size
+            + greatest(0, least(size, budget - (budget // source_size) * source_size - before)) END AS BIGINT) AS taken
+FROM placed
+"""
+
+
 @query
 def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(scan_parquet(spark, folder, "documents"))
