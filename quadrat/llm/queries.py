@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadrat.llm import mixing, packing, token_store
+from quadrat.llm import mixing, near_dup, packing, token_store
 from quadrat.session import shared_folder, stored
 from quadrat.sources.tables import scan_parquet
 
@@ -58,6 +58,11 @@ FROM placed
 """
 
 
+@query
+def op3_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dup.near_duplicates(scan_parquet(spark, folder, "documents"), percent=85)
+
+
 @query
 def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(scan_parquet(spark, folder, "documents"))
