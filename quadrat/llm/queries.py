@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadrat.llm import mixing, near_dup, packing, token_store
+from quadrat.llm import mixing, near_dup, packing, substring, token_store
 from quadrat.session import shared_folder, stored
 from quadrat.sources.tables import scan_parquet
 
@@ -66,3 +66,8 @@ def op3_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(scan_parquet(spark, folder, "documents"))
+
+
+@query
+def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring.removal_digest(scan_parquet(spark, folder, "documents"))
