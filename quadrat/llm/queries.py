@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadrat.llm import mixing, near_dup, packing, substring, token_store
+from quadrat.llm import fingerprints, language, mixing, near_dup, packing, substring, token_store, toxicity
 from quadrat.session import shared_folder, stored
 from quadrat.sources.tables import scan_parquet
 
@@ -71,3 +71,18 @@ def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring.removal_digest(scan_parquet(spark, folder, "documents"))
+
+
+@query
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity_digest(scan_parquet(spark, folder, "documents"), scan_parquet(spark, folder, "labels"))
+
+
+@query
+def op7_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.fingerprint_digest(scan_parquet(spark, folder, "documents"))
+
+
+@query
+def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language.language_digest(scan_parquet(spark, folder, "documents"))
