@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadrat.llm import fingerprints, language, mixing, near_dup, neighbours, packing, substring, token_store, toxicity
+from quadrat.llm import fingerprints, html_text, language, mixing, near_dup, neighbours, packing, substring, token_store, toxicity
 from quadrat.session import shared_folder, stored
 from quadrat.sources.tables import scan_parquet
 
@@ -83,6 +83,11 @@ def op7_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.fingerprint_digest(scan_parquet(spark, folder, "documents"))
 
 
+@query
+def op8_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(scan_parquet(spark, folder, "pages"))
+
+
 @query
 def op9_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     vectors = scan_parquet(spark, folder, "embeddings").select("vec_id", "embedding")
