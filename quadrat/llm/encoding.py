@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import public_tokenizers
@@ -10,14 +11,15 @@ from tokenizers import Tokenizer
 
 #: White space as the vocabularies' patterns see it is that of Python without the four information separators.
 _CHUNKS = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
-_RUNS = re.compile(r"^\s|\s\s|\s$")
-#: Letters that keep their number in normal form and lower case, so that places in a joined text hold.
-_PLAIN = re.compile(r"[ \n]?[\x21-\x7e\xa1-į]+")
+#: White space but space and line feed.
+_OTHER_SPACE = "\t\v\f\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Words that a pattern keeps whole: letters with one lower-case letter each.
+_LETTERS = re.compile(r"[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u012f]+")
 #: A letter (that stays one in lower case) before ASCII punctuation ends a token, so that a chunk's closing marks can be encoded alone.
 _TAIL = re.compile(r"([^!-/:-@\[-`{-~]*(?=[A-\u012f])[^\W\d_])([!-/:-@\[-^`{-~]+)")
 
 #: Chunks that one Python worker remembers at most; then it starts anew.
-REMEMBER = 1_000_000
+REMEMBER = 900_000
 
 
 class Encoder:
@@ -31,21 +33,33 @@ class Encoder:
     def __init__(self, vocabulary: str, keeps_space: bool):
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.keeps_space = keeps_space
+        printed = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # byte-level vocabularies print other bytes as U+0100 on
+        hidden = [b for b in range(256) if b not in printed]
+        self.letters = str.maketrans({b: 256 + k for k, b in enumerate(hidden)})
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.whole: dict[str, bytes] = {}  # chunks as they are
         self.tails: dict[str, bytes] = {"": b""}
         self.after_space: dict[str, bytes] = {}  # chunks after one space, which the key leaves out
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: list[str], at_once: int = 256) -> list[np.ndarray]:
+        return [ids for at in range(0, len(texts), at_once) for ids in self._encode(texts[at:at + at_once])]
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.whole) + len(self.after_space) > REMEMBER:
             self.whole.clear()
             self.tails = {"": b""}
             self.after_space.clear()
         out: list[np.ndarray | None] = [None] * len(texts)
         if self.keeps_space:
-            even = [i for i, t in enumerate(texts) if t and not _RUNS.search(t)]
-            parts = [texts[i].replace("\n", " \n").split(" ") for i in even]
+            even, parts = [], []
+            for i, text in enumerate(texts):
+                if not any(c in text for c in _OTHER_SPACE):
+                    part = text.replace("\n", " \n").split(" ")
+                    if "" not in part and "\n" not in part:  # single white space between words
+                        even.append(i)
+                        parts.append(part)
             heads = self._look_up([[p[0]] for p in parts], self.whole, False)
             tails = self._look_up([p[1:] for p in parts], self.after_space, True)
             for i, head, tail in zip(even, heads, tails):
@@ -61,14 +75,9 @@ class Encoder:
     def _look_up(self, parts: list[list[str]], known: dict[str, bytes], spaced: bool) -> list[bytes]:
         keys = [k for p in parts for k in p]
         found = list(map(known.get, keys))
-        gaps = [i for i, x in enumerate(found) if x is None]
-        if gaps:
-            cut = {k: m.groups() if (m := _TAIL.fullmatch(k)) else (k, "") for k in {keys[i] for i in gaps}}
-            new = list({stem for stem, _ in cut.values()} - known.keys())
-            known.update(zip(new, self._ids([" " + k if spaced and k[0] != "\n" else k for k in new])))
-            tails = list({tail for _, tail in cut.values()} - self.tails.keys())
-            self.tails.update(zip(tails, self._ids(tails)))
-            known.update((k, known[stem] + self.tails[tail]) for k, (stem, tail) in cut.items() if tail)
+        if None in found:
+            gaps = [i for i, x in enumerate(found) if x is None]
+            self._learn({keys[i] for i in gaps}, known, " " if spaced else "")
             for i in gaps:
                 found[i] = known[keys[i]]
         out, at = [], 0
@@ -77,21 +86,29 @@ class Encoder:
             at += len(p)
         return out
 
-    def _ids(self, chunks: list[str], at_once: int = 500) -> list[bytes]:
-        """Ids of different chunks. Plain ones are encoded as one text, which is quicker, and its ids cut by their places."""
-        plain = [bool(_PLAIN.fullmatch(c)) for c in chunks]
-        odd = iter(self.tokenizer.encode_batch([c for c, p in zip(chunks, plain) if not p], add_special_tokens=False))
-        easy, done = [c for c, p in zip(chunks, plain) if p], []
-        for at in range(0, len(easy), at_once):
-            some = easy[at:at + at_once]
-            found = self.tokenizer.encode("\n".join(some), add_special_tokens=False)
-            ends = np.cumsum([len(c) + 1 for c in some])
-            first = np.fromiter((o[0] for o in found.offsets), np.int64, len(found.ids))
-            inside = ~np.isin(first, ends - 1)  # without the line breaks between
-            ids, cuts = np.array(found.ids, "<u4")[inside], np.searchsorted(first[inside], ends)
-            done += [ids[a:b].tobytes() for a, b in zip([0, *cuts], cuts)]
-        done = iter(done)
-        return [next(done) if p else np.array(next(odd).ids, "<u4").tobytes() for p in plain]
+    def _learn(self, new: set[str], known: dict[str, bytes], space: str) -> None:
+        """Ids of new chunks. A single word goes to the vocabulary's model at once, others through all steps."""
+        model, lower, table = self.model, not self.keeps_space, self.letters
+        front, odd = space.translate(table), []
+        for chunk in new:
+            stem, tail = chunk, b""
+            if chunk and not chunk[-1].isalnum() and (m := _TAIL.fullmatch(chunk)):
+                stem, tail = m.groups()
+                if tail not in self.tails:
+                    self.tails[tail] = self._whole([tail])[0]
+                tail = self.tails[tail]
+            if stem.isascii() and stem.isalpha():
+                piece = front + (stem.lower() if lower else stem)
+            elif _LETTERS.fullmatch(stem):
+                piece = front + (stem.lower() if lower else stem).encode().decode("latin-1").translate(table)
+            else:
+                odd.append(chunk)
+                continue
+            known[chunk] = array("I", [t.id for t in model.tokenize(piece)]).tobytes() + tail
+        known.update(zip(odd, self._whole([space + c if c[:1] != "\n" else c for c in odd])))
+
+    def _whole(self, chunks: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(chunks, add_special_tokens=False)]
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}

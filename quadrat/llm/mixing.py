@@ -84,13 +84,12 @@ def mix(docs: DataFrame, seed: int = 17, weights=WEIGHTS, epochs: int = EPOCHS)
     Documents without words carry no budget and are left out; so are NULL texts. ``n_chars`` follows the text.
     """
     columns = docs.columns
-    rows = shares(docs.withColumn("size", n_words("text")), seed, weights, epochs).where("taken > 0")
+    rows = docs.select(F.struct(*columns).alias("_row"), "doc_id", "source", n_words("text").alias("size"))
+    rows = shares(rows, seed, weights, epochs).where("taken > 0")
     copies = F.col("whole_epochs") + F.when(F.col("part") > 0, 1).otherwise(0)
     rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
     cut = (F.col("_copy") > F.col("whole_epochs")) & (F.col("part") < F.col("size"))
-    runs = F.expr(r"regexp_extract_all(text, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+', 0)")
-    text = F.when(cut, F.array_join(F.slice(runs, 1, F.greatest(F.col("part"), F.lit(1)).cast("int")), "")).otherwise(F.col("text"))
-    rows = rows.withColumn("text", text)
-    if "n_chars" in columns:
-        rows = rows.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return rows.select(*columns)
+    runs = F.expr(r"regexp_extract_all(_row.text, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+', 0)")
+    text = F.when(cut, F.array_join(F.slice(runs, 1, F.greatest(F.col("part"), F.lit(1)).cast("int")), "")).otherwise(F.col("_row.text"))
+    new = {"text": text, "n_chars": F.when(cut, F.length(text).cast("long")).otherwise(F.col("_row.n_chars")) if "n_chars" in columns else None}
+    return rows.select(*(new[c].alias(c) if new.get(c) is not None else F.col(f"_row.`{c}`").alias(c) for c in columns))

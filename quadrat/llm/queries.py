@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from quadrat.llm import fingerprints, html_text, language, mixing, near_dup, neighbours, packing, substring, token_store, toxicity
 from quadrat.session import shared_folder, stored
 from quadrat.sources.tables import scan_parquet
@@ -97,3 +98,12 @@ def op9_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.language_digest(scan_parquet(spark, folder, "documents"))
+
+
+@query
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)
+
+
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

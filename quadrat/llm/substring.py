@@ -260,9 +260,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             out.append(text)
         return pd.Series(out, dtype=object)
 
-    rows = docs.join(cuts, "doc_id", "left")
-    text = F.when(F.col("_cuts").isNotNull(), F.col("_new")).otherwise(F.col("text"))
-    rows = rows.withColumn("_new", cut_text(F.when(F.col("_cuts").isNotNull(), F.col("text")), "_cuts")).withColumn("text", text)
+    rows = docs.select("doc_id", F.struct(*columns).alias("_row")).join(cuts, "doc_id", "left")
+    changed = F.col("_cuts").isNotNull()
+    rows = rows.withColumn("_text", cut_text(F.when(changed, F.col("_row.text")), "_cuts"))
+    new = {"text": F.when(changed, F.col("_text")).otherwise(F.col("_row.text"))}
     if "n_chars" in columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_cuts").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return rows.select(*columns)
+        new["n_chars"] = F.when(changed, F.length("_text").cast("long")).otherwise(F.col("_row.n_chars"))
+    return rows.select(*(new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in columns))
