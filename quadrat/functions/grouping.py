@@ -44,7 +44,7 @@ def with_group_stats(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column])
 def _range_bounds(df: DataFrame, by: Sequence[str], value: str, hot_rows: int) -> DataFrame | None:
     """Value bounds of the groups too large for one sort, at most ``MAX_HOT`` rows; None if there are none.
 
-    A sketch of the number of distinct values finds the groups, a quantile sketch their bounds.
+    ``df`` has a row per distinct value, so a value that many rows share is one value to the quantile sketch too.
     """
     sizes = df.groupBy(*by).agg(F.approx_count_distinct(value).alias("_d")).filter(F.col("_d") > hot_rows)
     hot = sizes.orderBy(F.desc("_d")).limit(MAX_HOT).collect()
@@ -72,7 +72,7 @@ def rank_cells(df: DataFrame, by: Sequence[str], value: str, carry: Sequence[Col
     """
     present = df.filter(F.col(value).isNotNull())
     cells = present.groupBy(*by, value).agg(F.count(F.lit(1)).alias("ties"), *carry)
-    bounds = _range_bounds(present, by, value, hot_rows)
+    bounds = _range_bounds(cells.select(*by, value), by, value, hot_rows)
     start = Window.unboundedPreceding
     if bounds is None:
         group = Window.partitionBy(*by)

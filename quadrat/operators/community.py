@@ -99,7 +99,8 @@ def _distance_tiles(df: DataFrame, sample: str, variable: str, value: str, metri
         F.collect_list(F.struct(F.col(variable).alias("k"), F.col("_x").alias("x"))).alias("_cells"))
     if chunks > 1:
         # A sample without taxa in a chunk still forms pairs there; its distance part is then that of zeros.
-        every = df.select(sample).distinct().withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).withColumn(
+        # A sample without any value forms none, however many chunks there are.
+        every = cells.select(sample).distinct().withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).withColumn(
             "_chunk", F.col("_chunk").cast("bigint"))
         packed = every.join(packed, [sample, "_chunk"], "left")
     tiles = (

@@ -66,7 +66,10 @@ def histogram(df: DataFrame, by: Sequence[str], value: str, width: float) -> Dat
 
 
 def histogram_sturges(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Counts in round-width bins, about ``log2(n) + 1`` of them, closed on the right as is usual for this rule."""
+    """Counts in round-width bins, about ``log2(n) + 1`` of them, closed on the right as is usual for this rule.
+
+    A group whose values are all equal has one bin that begins and ends at this value.
+    """
     classes = F.ceil(F.log2("_n") + 1)
     stats = [F.count(value).alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi")]
     raw = (F.col("_hi") - F.col("_lo")) / F.col("_k")
@@ -77,12 +80,13 @@ def histogram_sturges(df: DataFrame, by: Sequence[str], value: str) -> DataFrame
             .when(step < 7.0, 5.0).otherwise(10.0))
     binned = (
         with_group_stats(df.filter(F.col(value).isNotNull()), by, stats)
-        .withColumn("_k", classes).withColumn("_raw", raw).filter(F.col("_raw") > 0)
-        .withColumn("_base", base).withColumn("_w", nice * F.col("_base"))
+        .withColumn("_k", classes).withColumn("_raw", raw)
+        .withColumn("_base", F.when(F.col("_raw") > 0, base)).withColumn("_w", F.when(F.col("_raw") > 0, nice * F.col("_base")))
         .withColumn("_lowest", F.floor(F.col("_lo") / F.col("_w")))
         .withColumn("_i", F.greatest(F.ceil(F.col(value) / F.col("_w")) - 1, F.col("_lowest"))))
-    return binned.groupBy(*by, (F.col("_i") * F.col("_w")).alias("bin_low"),
-                          ((F.col("_i") + 1) * F.col("_w")).alias("bin_high")).agg(F.count(F.lit(1)).alias("n"))
+    low, high = F.col("_i") * F.col("_w"), (F.col("_i") + 1) * F.col("_w")
+    return binned.groupBy(*by, F.coalesce(low, F.col("_lo").cast("double")).alias("bin_low"),
+                          F.coalesce(high, F.col("_hi").cast("double")).alias("bin_high")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def group_max_ranked(df: DataFrame, by: Sequence[str], value: str, name: str = "max_value") -> DataFrame:

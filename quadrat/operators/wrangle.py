@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+import re
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,7 +46,7 @@ def keep_complete(df: DataFrame, *columns: str) -> DataFrame:
 
 def split_key(df: DataFrame, key: str, parts: dict[int, str], sep: str = "_") -> DataFrame:
     """Take 1-based pieces of a composite key into columns; a missing piece is NULL."""
-    pieces = F.split(F.col(key), sep, -1)
+    pieces = F.split(F.col(key), re.sub(r"([^\w\s])", r"\\\1", sep), -1)  # the separator as it is, no pattern
     return df.withColumns({name: F.get(pieces, i - 1) for i, name in parts.items()})
 
 
@@ -71,12 +72,19 @@ def unpivot(df: DataFrame, ids: Sequence[str], values: Sequence[str], name: str
 
 
 def pivot(df: DataFrame, ids: Sequence[str], names_from: str, names: Sequence[str], values: Sequence[str],
-          prefix: str = "") -> DataFrame:
-    """One column per name (and per value column, as ``<value>_<name>``) from an explicit name list."""
+          prefix: str = "", combine: Callable[[str], Column] | None = None) -> DataFrame:
+    """One column per name (and per value column, as ``<value>_<name>``) from an explicit name list.
+
+    Several values for one cell are an error, unless ``combine`` (such as ``F.avg``) says what becomes of them.
+    """
+    if combine is None:
+        several = F.raise_error(F.lit("pivot: several values for one cell; give combine"))
+        df = df.groupBy(*ids, names_from).agg(*[F.when(F.count(v) > 1, several).otherwise(F.max(v)).alias(v) for v in values])
+        combine = F.max
     wide = df.groupBy(*ids).pivot(names_from, list(names))
     if len(values) == 1:
-        return wide.agg(F.max(values[0])).withColumnsRenamed({n: f"{prefix}{n}" for n in names})
-    out = wide.agg(*[F.max(v).alias(v) for v in values])
+        return wide.agg(combine(values[0])).withColumnsRenamed({n: f"{prefix}{n}" for n in names})
+    out = wide.agg(*[combine(v).alias(v) for v in values])
     return out.withColumnsRenamed({f"{n}_{v}": f"{prefix}{v}_{n}" for n in names for v in values})
 
 

@@ -11,6 +11,7 @@ from quadrat.plans.study import TIMES, change_summary, change_with_baseline
 from quadrat.sources.tables import clean_keys
 
 UNIT = ["unit", "param", "treatment"]
+PARAMS = ["click", "error", "purchase", "signup", "view"]
 
 
 @query("SELECT l_suppkey, count(*) AS n_lines, sum(l_quantity) AS sum_qty FROM lineitem WHERE l_discount > 0.05 GROUP BY l_suppkey")
@@ -19,10 +20,10 @@ def scan_filtered_lines(t):
         F.count(F.lit(1)).alias("n_lines"), F.sum("l_quantity").alias("sum_qty"))
 
 
-@query("""SELECT event_id, CAST(TRY_CAST(substr(props, 7, 2) AS INTEGER) AS INTEGER) AS k FROM events
-WHERE TRY_CAST(substr(props, 7, 2) AS INTEGER) IS NOT NULL""")
+@query(r"""SELECT event_id, TRY_CAST(regexp_extract(props, '"k"\s*:\s*"?([^",}]*)', 1) AS INTEGER) AS k FROM events
+WHERE TRY_CAST(regexp_extract(props, '"k"\s*:\s*"?([^",}]*)', 1) AS INTEGER) IS NOT NULL""")
 def clean_lookup_keys(t):
-    return clean_keys(t.events.select("event_id", F.substring("props", 7, 2).alias("k")), "k")
+    return clean_keys(t.events.select("event_id", F.get_json_object("props", "$.k").alias("k")), "k")
 
 
 @query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
@@ -100,13 +101,12 @@ def pivot_times(t):
 
 
 @query("""+s AS (SELECT treatment, param, avg(value) AS mean, sqrt(var_samp(value) / count(*)) AS se FROM measures GROUP BY 1, 2)
-SELECT treatment, round(max(CASE WHEN param = 'click' THEN mean END), 9) AS mean_click, round(max(CASE WHEN param = 'view' THEN mean END), 9) AS mean_view,
-round(max(CASE WHEN param = 'click' THEN se END), 9) AS se_click, round(max(CASE WHEN param = 'view' THEN se END), 9) AS se_view
+SELECT treatment, """ + ", ".join(f"round(max(CASE WHEN param = '{p}' THEN {v} END), 9) AS {v}_{p}" for v in ("mean", "se") for p in PARAMS) + """
 FROM s GROUP BY 1""", "measures")
 def pivot_two_values(t):
     stats = S.mean_se(t.measures(), ["treatment", "param"], {"value": ""})
-    wide = W.pivot(stats, ["treatment"], "param", ["click", "view"], ["mean", "se"])
-    return rounded(wide, 9, "mean_click", "mean_view", "se_click", "se_view")
+    wide = W.pivot(stats, ["treatment"], "param", PARAMS, ["mean", "se"])
+    return rounded(wide, 9, *[f"{v}_{p}" for v in ("mean", "se") for p in PARAMS])
 
 
 @query("""SELECT unit, param, treatment, "Time", round(value, 4) AS value FROM pooled_change""", "pooled_change")
@@ -145,11 +145,11 @@ def shifted_log_change(t):
     return rounded(out.select("unit", "param", "Time", shifted_log("value").alias("logvalue")), 6, "logvalue")
 
 
-@query("""SELECT unit, time, round(max(CASE WHEN param = 'click' THEN ln(value) END), 6) AS lnclick, round(max(CASE WHEN param = 'view' THEN ln(value) END), 6) AS lnview,
-round(max(CASE WHEN param = 'error' THEN ln(value) END), 6) AS lnerror FROM measures GROUP BY 1, 2""", "measures")
+@query("SELECT unit, time, " + ", ".join(f"round(max(CASE WHEN param = '{p}' THEN ln(value) END), 6) AS ln{p}" for p in PARAMS)
+       + " FROM measures GROUP BY 1, 2", "measures")
 def log_wide(t):
-    out = C.log_wide(t.measures(), ["unit", "time"], "param", "value", ["click", "view", "error"])
-    return rounded(out, 6, "lnclick", "lnview", "lnerror")
+    out = C.log_wide(t.measures(), ["unit", "time"], "param", "value", PARAMS)
+    return rounded(out, 6, *[f"ln{p}" for p in PARAMS])
 
 
 @query("""+w AS (SELECT unit, param, treatment, max(CASE WHEN time = '24H' THEN value END) AS a, max(CASE WHEN time = '4WK' THEN value END) AS b FROM measures GROUP BY 1, 2, 3)
@@ -271,7 +271,8 @@ def histogram_fixed_width(t):
 r AS (SELECT *, (hi - lo) / ceil(log2(n) + 1) AS raw FROM s), b AS (SELECT *, pow(10.0, floor(log10(raw))) AS base FROM r WHERE raw > 0),
 w AS (SELECT *, base * CASE WHEN raw / base < 1.4 THEN 1.0 WHEN raw / base < 2.8 THEN 2.0 WHEN raw / base < 7.0 THEN 5.0 ELSE 10.0 END AS width FROM b),
 i AS (SELECT p_type, width, greatest(ceil(p_retailprice / width) - 1, floor(lo / width)) AS i FROM part JOIN w USING (p_type))
-SELECT p_type, round(i * width, 6) AS bin_low, round((i + 1) * width, 6) AS bin_high, count(*) AS n FROM i GROUP BY ALL""")
+SELECT p_type, round(i * width, 6) AS bin_low, round((i + 1) * width, 6) AS bin_high, count(*) AS n FROM i GROUP BY ALL
+UNION ALL SELECT p_type, round(lo, 6), round(hi, 6), n FROM s WHERE lo = hi""")
 def histogram_sturges(t):
     return rounded(S.histogram_sturges(t.part, ["p_type"], "p_retailprice"), 6, "bin_low", "bin_high")
 
@@ -311,13 +312,13 @@ def top_taxa_by_group(t):
     return top(t.counts(), t.samples(), "region", 10)
 
 
-@query("""SELECT 'orders' AS source, o_orderpriority AS name, count(*) AS n, avg(o_totalprice) > 0 AS positive FROM orders GROUP BY 2
-UNION ALL SELECT 'events', event_type, count(*), avg(value) > 0 FROM events GROUP BY 2""")
+@query("""SELECT 'orders' AS source, o_orderpriority AS name, count(*) AS n, round(avg(o_totalprice), 4) AS mean FROM orders GROUP BY 2
+UNION ALL SELECT 'events', event_type, count(*), round(avg(value), 4) FROM events GROUP BY 2""")
 def stack_results(t):
     def counted(df, name, value):
-        return df.groupBy(F.col(name).alias("name")).agg(F.count(F.lit(1)).alias("n"), (F.avg(value) > 0).alias("positive"))
-    return W.stack_rows({"orders": counted(t.orders, "o_orderpriority", "o_totalprice"),
-                         "events": counted(t.events, "event_type", "value")}, "source")
+        return df.groupBy(F.col(name).alias("name")).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))
+    return rounded(W.stack_rows({"orders": counted(t.orders, "o_orderpriority", "o_totalprice"),
+                                 "events": counted(t.events, "event_type", "value")}, "source"), 4, "mean")
 
 
 @query("""SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 49 INTERSECT

@@ -87,11 +87,7 @@ def test_percent_change_zero_baseline_and_missing_unit(spark):
     assert got[1] == pytest.approx((2 - 1e-6) / 1e-6 * 100) and got[2] is None
 
 
-def test_text_round_trip_and_keys(spark, tmp_path):
-    df = spark.createDataFrame([(1, "x", None), (2, "y", 2.5)], "a int, b string, c double")
-    write_tsv(df, str(tmp_path / "out"))
-    back = spark.read.schema("a int, b string, c double").option("sep", "\t").option("header", True).option("nullValue", "NA").csv(str(tmp_path / "out"))
-    assert sorted(back.collect()) == sorted(df.collect())
+def test_reader_copes_with_marks_and_keys(spark, tmp_path):
     raw = tmp_path / "lookup.txt"
     raw.write_bytes("﻿Plot\tBlock\r\n 1 \t2\r\nPlot\tB\r\n3\tNULL\r\n".encode())
     kept = clean_keys(scan_tsv(spark, str(raw), "Plot string, Block string"), "Plot").collect()
@@ -274,3 +270,50 @@ def test_dispersion_and_wald_find_the_changed_taxa(spark):
     row = res.filter("taxon_id = 't00'").first()
     assert row["contrast"] == "g_trt_vs_ctl" and row["log2_fold_change"] == pytest.approx(3, abs=0.8)
     assert row["stat"] == pytest.approx(row["log2_fold_change"] / row["lfc_se"])
+
+
+def test_text_comes_back_as_written(spark, tmp_path):
+    df = spark.createDataFrame([(1, "NA", 2.5), (2, None, None), (3, "x y", -1.0)], "a int, b string, c double")
+    write_tsv(df, str(tmp_path / "t"))
+    assert sorted(scan_tsv(spark, str(tmp_path / "t"), "a int, b string, c double").collect(), key=str) == sorted(df.collect(), key=str)
+
+
+def test_reader_refuses_other_headers_and_bad_cells(spark, tmp_path):
+    (tmp_path / "swapped.txt").write_text("b\ta\n1\t2\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        scan_tsv(spark, str(tmp_path / "swapped.txt"), "a int, b int").collect()
+    (tmp_path / "bad.txt").write_text("a\tb\n1\tx\n")
+    with pytest.raises(Exception):
+        scan_tsv(spark, str(tmp_path / "bad.txt"), "a int, b int").collect()
+    assert scan_tsv(spark, str(tmp_path / "bad.txt"), "a int, b int", mode="PERMISSIVE").collect() == [(1, None)]
+
+
+def test_separator_is_no_pattern(spark):
+    df = spark.createDataFrame([("a.b|c",)], "k string")
+    assert W.split_key(df, "k", {1: "x", 2: "y"}, ".").select("x", "y").collect() == [("a", "b|c")]
+    assert W.split_key(df, "k", {2: "y", 3: "z"}, "|").select("y", "z").collect() == [("c", None)]
+
+
+def test_pivot_refuses_several_values(spark):
+    df = spark.createDataFrame([(1, "p", 1.0), (1, "p", 3.0), (1, "q", 5.0)], "id int, name string, v double")
+    with pytest.raises(Exception, match="several values"):
+        W.pivot(df, ["id"], "name", ["p", "q"], ["v"]).collect()
+    assert W.pivot(df, ["id"], "name", ["p", "q"], ["v"], combine=F.avg).collect() == [(1, 2.0, 5.0)]
+
+
+def test_equal_values_keep_a_bin(spark):
+    df = spark.createDataFrame([("a", 5.0)] * 4 + [("b", 1.0), ("b", 2.0)], "g string, x double")
+    got = S.histogram_sturges(df, ["g"], "x")
+    assert got.filter("g = 'a'").collect() == [("a", 5.0, 5.0, 4)] and got.filter("g = 'b'").agg(F.sum("n")).first()[0] == 2
+
+
+@pytest.mark.parametrize("chunk", [1, 100])
+def test_samples_without_values_form_no_pairs(spark, chunk):
+    df = spark.createDataFrame([("s1", "x", 1), ("s1", "y", 2), ("s2", "y", 4), ("s3", "x", None)], "sample_id string, taxon_id string, count long")
+    got = K.bray_curtis(df, chunk_taxa=chunk).collect()
+    assert [(r["id_a"], r["id_b"]) for r in got] == [("s1", "s2")]
+
+
+def test_ranges_do_not_follow_a_dominant_value(spark):
+    df = spark.range(40_000).select(F.when(F.col("id") < 38_000, 0.0).otherwise(F.col("id").cast("double")).alias("x"))
+    assert rank_cells(df, [], "x", hot_rows=100).select("_range").distinct().count() > 500
