@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quadrat.session import stored
@@ -26,9 +26,12 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).where("a > b")
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-    return row.n, row.s
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The links as a stored table, with their number and the sum of their hashes, seen while writing."""
+    seen = Observation()
+    counted = edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s"))
+    out = stored(counted, "links")
+    return out, (seen.get["n"], seen.get["s"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -38,11 +41,10 @@ def components(edges: DataFrame) -> DataFrame:
     is no single task: its rows are combined before the shuffle and large join partitions are split.
     """
     now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
-    now = stored(now, "links")
-    state = _state(now)
+    now, state = _written(now)
     while state[0]:
-        now = stored(_small_star(_large_star(now).distinct()).distinct(), "links")
-        before, state = state, _state(now)
-        if state == before:
+        now, after = _written(_small_star(_large_star(now).distinct()).distinct())
+        if after == state:
             break
+        state = after
     return now

@@ -171,7 +171,7 @@ def verified_links(docs: DataFrame, clusters: DataFrame, percent: int, width: in
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("_n"))
     dealt = clusters.join(sizes, "cluster").withColumn("blocks", F.ceil(F.col("_n") / block).cast("int")).drop("_n")
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    sets = stored(docs.select("doc_id", "text").join(dealt, "doc_id").mapInPandas(load, "doc_id long, cluster long, blocks int, block int, shingles binary"), "sets")
+    sets = stored(docs.select("doc_id", "text").join(dealt.hint("merge"), "doc_id").mapInPandas(load, "doc_id long, cluster long, blocks int, block int, shingles binary"), "sets")
 
     def inside(df: pd.DataFrame) -> pd.DataFrame:
         df = df.drop_duplicates("doc_id")
@@ -233,4 +233,4 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, bands: i
 def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """``docs`` without the documents whose group has a smaller doc_id."""
     gone = near_duplicates(docs, percent).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)

@@ -190,12 +190,12 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     recurring = first.join(shared, "anchor").groupBy("doc_id", "words_hash").agg(F.collect_set("anchor").alias("recurring"))
     texts = docs.select("doc_id", "text")
 
-    windows = stored(_candidate_windows(recurring.join(texts, "doc_id")), "windows")
+    windows = stored(_candidate_windows(recurring.join(texts.hint("merge"), "doc_id")), "windows")
     rows = windows.select("doc_id", "words_hash", F.explode(F.arrays_zip("places", "hashes")).alias("w")).select("doc_id", "words_hash", "w.places", "w.hashes")
     owners = rows.groupBy("hashes").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").drop("last")
     owned = rows.join(owners, "hashes").groupBy("doc_id", "words_hash", "owner").agg(F.sort_array(F.collect_set("places")).alias("places"))
     owned = owned.groupBy("doc_id", "words_hash").agg(F.collect_list(F.struct("owner", "places")).alias("owned"))
-    passages = stored(_passages(owned.join(texts, "doc_id")), "passages")
+    passages = stored(_passages(owned.join(texts.hint("merge"), "doc_id")), "passages")
     sources = passages.where("doc_id = owner").select("owner", F.col("passages").alias("owned"))
     pairs = passages.where("doc_id > owner").join(sources, "owner").select("owner", "owned", "doc_id", "words_hash", "starts", "passages")
     spans = _located(pairs).groupBy("doc_id", "words_hash").agg(F.flatten(F.collect_list("spans")).alias("spans")).where(F.size("spans") > 0)
@@ -227,7 +227,7 @@ def removal_digest(docs: DataFrame) -> DataFrame:
                     rows.append((doc_id, key, int((~keep).sum()), text_hash([w for w, k in zip(words, keep) if k])))
             yield pd.DataFrame(rows, columns=["doc_id", "words_hash", "_removed", "_hash"])
 
-    changed = spans.join(docs.select("doc_id", "text"), "doc_id").mapInPandas(digest, "doc_id long, words_hash string, _removed long, _hash string")
+    changed = spans.join(docs.select("doc_id", "text").hint("merge"), "doc_id").mapInPandas(digest, "doc_id long, words_hash string, _removed long, _hash string")
     rows = marked.join(changed.dropDuplicates(["doc_id", "words_hash"]), ["doc_id", "words_hash"], "left")
     whole = F.col("copied") & (F.col("n_words") >= WINDOW)
     return rows.select("doc_id", "n_words", F.when(whole, F.col("n_words")).otherwise(F.coalesce("_removed", F.lit(0))).cast("long").alias("n_removed"),
@@ -260,7 +260,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             out.append(text)
         return pd.Series(out, dtype=object)
 
-    rows = docs.select("doc_id", F.struct(*columns).alias("_row")).join(cuts, "doc_id", "left")
+    rows = docs.select("doc_id", F.struct(*columns).alias("_row")).join(cuts.hint("merge"), "doc_id", "left")
     changed = F.col("_cuts").isNotNull()
     rows = rows.withColumn("_text", cut_text(F.when(changed, F.col("_row.text")), "_cuts"))
     new = {"text": F.when(changed, F.col("_text")).otherwise(F.col("_row.text"))}
