@@ -22,11 +22,21 @@ _TAIL = re.compile(r"([^!-/:-@\[-`{-~]*(?=[A-\u012f])[^\W\d_])([!-/:-@\[-^`{-~]+
 REMEMBER = 900_000
 
 
+def _lowered(text: str) -> str:
+    """Lower case where it changes letters one by one and normal form changes none, so that a lower-casing vocabulary's ids
+    stay as they are; other texts as they are."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 class Encoder:
     """Ids of texts under a vocabulary file of the ``tokenizers`` library, as little-endian unsigned 32-bit integers.
 
     ``keeps_space``: the vocabulary encodes white space (byte level), which goes with the word after it; else it is
-    dropped. No token of either kind reaches back over the start of a white-space run, so texts are cut there and each
+    dropped and letters are lower-cased. No token of either kind reaches back over the start of a white-space run, so texts are cut there and each
     different chunk is encoded once. Strings of special tokens are ordinary text.
     """
 
@@ -67,7 +77,7 @@ class Encoder:
             rest = [i for i, x in enumerate(out) if x is None]
             parts = [_CHUNKS.findall(texts[i]) for i in rest]
         else:
-            rest, parts = range(len(texts)), [t.replace("\n", " ").split(" ") for t in texts]
+            rest, parts = range(len(texts)), [_lowered(t).replace("\n", " ").split(" ") for t in texts]
         for i, found in zip(rest, self._look_up(parts, self.whole, False)):
             out[i] = np.frombuffer(found, "<u4")
         return out
