@@ -9,6 +9,8 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
+from quadrat.llm.keep import kept
+
 #: White space as the vocabularies' patterns see it is that of Python without the four information separators.
 _CHUNKS = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
 #: White space but space and line feed.
@@ -121,12 +123,6 @@ class Encoder:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(chunks, add_special_tokens=False)]
 
 
-_encoders: dict[tuple[str, bool], Encoder] = {}
-
-
 def encoder(vocabulary: str, keeps_space: bool) -> Encoder:
     """The encoder of this Python worker, kept from task to task."""
-    key = (vocabulary, keeps_space)
-    if key not in _encoders:
-        _encoders[key] = Encoder(vocabulary, keeps_space)
-    return _encoders[key]
+    return kept(f"encoder {vocabulary} {keeps_space}", lambda: Encoder(vocabulary, keeps_space))

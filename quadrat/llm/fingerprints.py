@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quadrat.llm.keep import kept
 from quadrat.llm.words import mixed
 
 #: Two primes below 2^31 and a base for each: products stay below 2^62.
@@ -26,12 +27,10 @@ PRIMES, BASES = (2_147_483_647, 2_147_483_629), (1_000_003, 998_244_353)
 
 SPAN, SLOTS = 12, 64
 
-_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
 def _powers(k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of base ``k`` and of its inverse, at least ``n`` of each, kept from call to call."""
-    have = _tables.get(k)
+    tables = kept("fingerprint_powers", dict)
+    have = tables.get(k)
     if have is None or len(have[0]) < n:
         size, p, out = max(4096, 1 << (n - 1).bit_length()), PRIMES[k], []
         for base in (BASES[k], pow(BASES[k], -1, p)):
@@ -41,7 +40,7 @@ def _powers(k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
                 table[done:2 * done] = table[:min(done, size - done)] * np.uint64(pow(base, done, p)) % np.uint64(p)
                 done *= 2
             out.append(table)
-        have = _tables[k] = (out[0], out[1])
+        have = tables[k] = (out[0], out[1])
     return have
 
 

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quadrat.llm.keep import kept
 from quadrat.llm.sampling import held_out, labelled_sample
 
 BINS = 1 << 20
@@ -31,7 +32,6 @@ FACTORS, EPOCHS, STEP, DECAY = 4, 10, 0.1, 1e-4
 REMEMBER = 500_000
 
 _WORD = re.compile(r"[^\W\d_]+")
-_known: dict[str, tuple[int, ...]] = {}
 
 
 def _bins(word: str) -> tuple[int, ...]:
@@ -40,13 +40,14 @@ def _bins(word: str) -> tuple[int, ...]:
 
 def terms(text: str | None) -> np.ndarray:
     """Sorted bins of the terms of a text; none for NULL and for texts without letters."""
-    if len(_known) > REMEMBER:
-        _known.clear()
+    known = kept("toxicity_terms", dict)
+    if len(known) > REMEMBER:
+        known.clear()
     found: set[int] = set()
     for word in set(_WORD.findall((text or "").lower())):
-        bins = _known.get(word)
+        bins = known.get(word)
         if bins is None:
-            bins = _known[word] = _bins(word)
+            bins = known[word] = _bins(word)
         found.update(bins)
     return np.array(sorted(found), np.int64)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from quadrat.llm.keep import kept
+
 #: Words that one Python worker remembers at most; then it starts anew.
 REMEMBER = 1_000_000
 
@@ -17,9 +19,6 @@ class _Numbers(dict):
         return found
 
 
-_numbers = _Numbers()
-
-
 def split_words(text: str | None, lower: bool = False) -> list[bytes]:
     """Runs of anything but ASCII white space, as UTF-8; ``lower`` changes A-Z alone. NULL has none."""
     data = (text or "").encode("utf-8", "surrogatepass")
@@ -27,9 +26,10 @@ def split_words(text: str | None, lower: bool = False) -> list[bytes]:
 
 
 def word_numbers(words: list[bytes]) -> np.ndarray:
-    if len(_numbers) > REMEMBER:
-        _numbers.clear()
-    return np.fromiter(map(_numbers.__getitem__, words), np.uint64, len(words))
+    numbers = kept("word_numbers", _Numbers)
+    if len(numbers) > REMEMBER:
+        numbers.clear()
+    return np.fromiter(map(numbers.__getitem__, words), np.uint64, len(words))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -53,17 +53,16 @@ def powers(n: int, base: np.uint64) -> np.ndarray:
 #: Base of the run hashes, modulo 2^64, and its inverse.
 _BASE = _ODD
 _INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
-_up, _down = powers(1 << 10, _BASE), powers(1 << 10, _INVERSE)
 
 
 def run_hashes(numbers: np.ndarray, width: int) -> np.ndarray:
     """Hash of every run of ``width`` numbers, equal for equal runs wherever they start."""
-    global _up, _down
     n = len(numbers)
     if n < width:
         return np.empty(0, np.uint64)
-    if len(_up) <= n:
-        _up, _down = powers(2 * n, _BASE), powers(2 * n, _INVERSE)
+    tables = kept("run_powers", dict)
+    if tables.get("n", 0) <= n:
+        tables.update(n=2 * n + 1024, up=powers(2 * n + 1024, _BASE), down=powers(2 * n + 1024, _INVERSE))
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(numbers * _up[:n], out=sums[1:])
-    return mixed((sums[width:] - sums[:-width]) * _down[:n - width + 1])
+    np.cumsum(numbers * tables["up"][:n], out=sums[1:])
+    return mixed((sums[width:] - sums[:-width]) * tables["down"][:n - width + 1])

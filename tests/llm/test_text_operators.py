@@ -1,4 +1,5 @@
 """Operators on documents against brute force, with NULLs, empty and long texts, ties, repeated rows and empty tables."""
+import functools
 import hashlib
 import random
 import re
@@ -44,10 +45,15 @@ def none(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def encoded(text, vocabulary, end):
+@functools.cache
+def library(vocabulary):
     tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
     tokenizer.encode_special_tokens = True
-    return np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, end], "<u4")
+    return tokenizer
+
+
+def encoded(text, vocabulary, end):
+    return np.array([*library(vocabulary).encode(text or "", add_special_tokens=False).ids, end], "<u4")
 
 
 @pytest.mark.parametrize("vocabulary,keeps_space", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
@@ -145,12 +151,11 @@ def groups(rows, percent):
     for i, t in rows:
         w = words_of(t)
         sets.setdefault(i, []).append({tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    links = [(a, b) for a in sets for b in sets if a < b and any(x and y and 100 * len(x & y) >= percent * len(x | y) for x in sets[a] for y in sets[b])]
     least = {i: i for i in sets}
     for _ in sets:
-        for a in sets:
-            for b in sets:
-                if any(x and y and 100 * len(x & y) >= percent * len(x | y) for x in sets[a] for y in sets[b]):
-                    least[b] = least[a] = min(least[a], least[b])
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
     return sets, least
 
 
