@@ -182,12 +182,13 @@ def verified_links(docs: DataFrame, clusters: DataFrame, percent: int, width: in
     wide = sets.where("blocks > 1")
     if wide.isEmpty():
         return first
-    return first.unionByName(_across_blocks(wide, first, percent, block))
+    return _across_blocks(wide, first, percent, block)
 
 
 def _across_blocks(wide: DataFrame, first: DataFrame, percent: int, block: int) -> DataFrame:
-    """Links of nodes outside their cluster's largest group so far to all nodes of the cluster."""
-    groups = components(first).select(F.col("a").alias("doc_id"), F.col("b").alias("_group"))
+    """The groups so far, and links of nodes outside their cluster's largest group to all nodes of the cluster."""
+    stars = components(first)
+    groups = stars.select(F.col("a").alias("doc_id"), F.col("b").alias("_group"))
     labelled = stored(wide.select("doc_id", "cluster").distinct().join(groups, "doc_id", "left")
                       .withColumn("group", F.coalesce("_group", "doc_id")).drop("_group"), "labels")
     counts = labelled.groupBy("cluster", "group").agg(F.count("*").alias("n"))
@@ -205,7 +206,7 @@ def _across_blocks(wide: DataFrame, first: DataFrame, percent: int, block: int)
         links = forest(a["doc_id"].to_numpy(), _sets(a["shingles"]), b["doc_id"].to_numpy(), _sets(b["shingles"]), percent) if len(a) and len(b) else []
         return pd.DataFrame(links, columns=["a", "b"])
 
-    return copies.unionByName(some).groupBy("cluster", "block", "other").applyInPandas(across, "a long, b long")
+    return stars.unionByName(copies.unionByName(some).groupBy("cluster", "block", "other").applyInPandas(across, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
