@@ -23,7 +23,7 @@ BINS = 1 << 20
 
 #: Labelled documents of each label that the model is fitted on at most. Terms of the model stand in ``LEAST_DOCS`` of them
 #: or more, and their chi-square statistic against the label is ``LEAST_CHI`` or more.
-SAMPLE_PER_LABEL, LEAST_DOCS, LEAST_CHI = 6000, 3, 15.0
+SAMPLE_PER_LABEL, LEAST_DOCS, LEAST_CHI = 4000, 3, 15.0
 
 #: Factors of a term, rounds over the sample, step and pull towards zero.
 FACTORS, EPOCHS, STEP, DECAY = 4, 10, 0.1, 1e-4
@@ -110,8 +110,8 @@ class ToxicityModel:
 
 def telling_bins(texts: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     """Bins that stand in enough texts and do so unevenly between the labels."""
-    bins, place, times = np.unique(np.concatenate([*texts, np.empty(0, np.int64)]), return_inverse=True, return_counts=True)
-    toxic = np.bincount(place, np.repeat(labels, [len(t) for t in texts]), len(bins))
+    bins, place, times = np.unique(np.concatenate([*texts, np.empty(0, np.int32)]), return_inverse=True, return_counts=True)
+    toxic = np.bincount(place, np.repeat(labels.astype(np.float32), [len(t) for t in texts]), len(bins))
     share, n = times / max(1, len(texts)), labels.sum()
     spread = share * (1 - share) * n * (1 - n / max(1, len(texts)))
     return bins[(times >= LEAST_DOCS) & ((toxic - share * n) ** 2 >= LEAST_CHI * np.maximum(spread, 1e-9))]
@@ -132,7 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL)
     rows = (docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
             .mapInPandas(collect, "doc_id long, toxic int, terms binary").collect())
     rows.sort(key=lambda r: (r.doc_id, r.toxic, bytes(r.terms)))
-    texts = [np.frombuffer(r.terms, np.int32).astype(np.int64) for r in rows]
+    texts = [np.frombuffer(r.terms, np.int32) for r in rows]
     marks = np.array([float(r.toxic > 0) for r in rows])
     bins = telling_bins(texts, marks)
     machine = FactorizationMachine(len(bins))
