@@ -14,12 +14,11 @@ from quadrat.operators.wrangle import lookup
 TIMES = ("PRE", "24H", "1WK", "4WK")
 
 
-def conform(measures: DataFrame, samples: DataFrame, plots: DataFrame, periods: DataFrame,
-            sample_key: dict[str, str], drop: Sequence[str]) -> DataFrame:
-    """Raw measures with plot, block, treatment and time in place of their laboratory keys."""
-    out = lookup(measures, samples, sample_key)
-    out = lookup(out, plots, ["Plot"])
-    return lookup(out, periods, ["SampDate"]).drop(*drop)
+def conform(measures: DataFrame, lookups: Sequence[tuple[DataFrame, dict[str, str] | Sequence[str]]], drop: Sequence[str]) -> DataFrame:
+    """Raw measures with the columns of several lookup tables, joined in the given order, in place of their keys."""
+    for table, keys in lookups:
+        measures = lookup(measures, table, keys)
+    return measures.drop(*drop)
 
 
 def change_summary(long: DataFrame, units: Sequence[str], by: Sequence[str], time: str = "time", value: str = "value",

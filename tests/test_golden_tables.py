@@ -27,6 +27,10 @@ def dims(spark, study):
     }
 
 
+def by_plot(dims, sample_key):
+    return [(dims["samples"], sample_key), (dims["plots"], ["Plot"]), (dims["periods"], ["SampDate"])]
+
+
 CHEM = ["NO3_mgkgdrysoil", "NH4_mgkgdrysoil", "mineralN_mgkgdrysoil", "NPOC_mgkgdrysoil", "DON_mgkgdrysoil", "grav_mois"]
 
 
@@ -34,14 +38,14 @@ CHEM = ["NO3_mgkgdrysoil", "NH4_mgkgdrysoil", "mineralN_mgkgdrysoil", "NPOC_mgkg
 def chemistry(spark, study, dims):
     raw = scan_tsv(spark, str(study["Chemistry, wide"]),
                    "lab_ID int, " + ", ".join(f"{c} double" for c in CHEM))
-    return conform(raw, **dims, sample_key={"lab_ID": "lab_id"}, drop=["lab_ID", "SampDate"]).cache()
+    return conform(raw, by_plot(dims, {"lab_ID": "lab_id"}), drop=["lab_ID", "SampDate"]).cache()
 
 
 @pytest.fixture(scope="module")
 def enzymes(spark, study, dims):
     raw = scan_tsv(spark, str(study["Enzymes, long"]),
                    "lab_ID int, Substrate string, Enzyme_nm_g_hr double, RunDay string")
-    return conform(drop_columns(raw, "RunDay"), **dims, sample_key={"lab_ID": "lab_id"},
+    return conform(drop_columns(raw, "RunDay"), by_plot(dims, {"lab_ID": "lab_id"}),
                    drop=["lab_ID", "SampDate"]).cache()
 
 
@@ -65,10 +69,9 @@ def test_conformed_tables(spark, study, dims, chemistry, enzymes):
     same_rows(enzymes, study["Joined enzymes"])
     moist = scan_tsv(spark, str(study["Moisture"]), "lab_ID int, grav_mois double, decimalgravmois double")
     moist = rename(drop_columns(moist, "grav_mois"), gravmois="decimalgravmois")
-    same_rows(conform(moist, **dims, sample_key={"lab_ID": "lab_id"}, drop=["lab_ID", "SampDate"]), study["Joined moisture"])
+    same_rows(conform(moist, by_plot(dims, {"lab_ID": "lab_id"}), drop=["lab_ID", "SampDate"]), study["Joined moisture"])
     rpm = scan_tsv(spark, str(study["Biomass readings"]), "Plot int, SampDate string, reading_rpm double, biomass_kg_plot double")
-    rpm = conform(rpm, dims["samples"], dims["plots"], dims["periods"],
-                  sample_key={"Plot": "Plot", "SampDate": "SampDate"}, drop=["lab_id", "SampDate"])
+    rpm = conform(rpm, by_plot(dims, {"Plot": "Plot", "SampDate": "SampDate"}), drop=["lab_id", "SampDate"])
     same_rows(rpm, study["Joined biomass"])
 
 
