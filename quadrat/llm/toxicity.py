@@ -3,6 +3,9 @@
 Terms are the lower-cased words of a text and their first four and five letters, hashed to ``BINS`` numbers; a text is the set
 of its terms. The score is the logistic function of bias + sum of weights + sum over pairs of terms of the products of
 their factor vectors, so that an insult together with a mention of a group can weigh more than both alone.
+
+Of the sample's terms the machine gets those that tell by themselves and those that tell together with another one: every
+pair of terms is tried against what the terms that tell by themselves leave unexplained.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrat.llm.keep import kept
@@ -21,12 +24,15 @@ from quadrat.llm.sampling import held_out, labelled_sample
 
 BINS = 1 << 20
 
-#: Labelled documents of each label that the model is fitted on at most. Terms of the model stand in ``LEAST_DOCS`` of them
-#: or more, and their chi-square statistic against the label is ``LEAST_CHI`` or more.
+#: Labelled documents of each label that the model is fitted on at most. Terms that tell by themselves stand in ``LEAST_DOCS``
+#: of them or more, and their chi-square statistic against the label is ``LEAST_CHI`` or more.
 SAMPLE_PER_LABEL, LEAST_DOCS, LEAST_CHI = 4000, 3, 15.0
 
-#: Factors of a term, rounds over the sample, step and pull towards zero.
-FACTORS, EPOCHS, STEP, DECAY = 4, 10, 0.1, 1e-4
+#: Probability that chance alone lets any pair of terms tell, and how near to 0 and 1 explained labels count.
+CHANCE, NEAR = 0.05, 0.01
+
+#: Factors of a term, rounds over the sample, rounds if pairs tell, step and pull towards zero.
+FACTORS, EPOCHS, PAIR_EPOCHS, STEP, DECAY = 4, 10, 100, 0.1, 1e-4
 
 #: Words that one Python worker remembers at most.
 REMEMBER = 500_000
@@ -52,6 +58,10 @@ def terms(text: str | None) -> np.ndarray:
     return np.array(sorted(found), np.int64)
 
 
+def logistic(margins: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(margins, -30, 30)))
+
+
 class FactorizationMachine:
     def __init__(self, n: int, factors: int = FACTORS, seed: int = 7):
         self.bias, self.w = 0.0, np.zeros(n)
@@ -75,7 +85,7 @@ class FactorizationMachine:
                 ids = np.concatenate([texts[i] for i in some])
                 row = np.repeat(np.arange(len(some)), [len(texts[i]) for i in some])
                 margin, sums = self.margins(ids, row, len(some))
-                error = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - labels[some]) / len(some)
+                error = (logistic(margin) - labels[some]) / len(some)
                 used, place = np.unique(ids, return_inverse=True)
                 d_w = np.bincount(place, error[row], len(used)) + decay * self.w[used]
                 pull = error[row, None] * (sums[row] - self.v[ids])
@@ -97,15 +107,17 @@ class ToxicityModel:
         self.bins, self.machine = bins, machine
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
+        return logistic(self.margins([terms(text) for text in texts]))
+
+    def margins(self, texts: list[np.ndarray]) -> np.ndarray:
         rows = []
-        for text in texts:
-            t = terms(text)
+        for t in texts:
             place = np.searchsorted(self.bins, t)
             inside = place < len(self.bins)
             rows.append(place[inside][self.bins[place[inside]] == t[inside]])
         ids = np.concatenate([*rows, np.empty(0, np.int64)])
         margin, _ = self.machine.margins(ids, np.repeat(np.arange(len(rows)), [len(r) for r in rows]), len(rows))
-        return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
+        return margin
 
 
 def telling_bins(texts: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
@@ -117,6 +129,68 @@ def telling_bins(texts: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     return bins[(times >= LEAST_DOCS) & ((toxic - share * n) ** 2 >= LEAST_CHI * np.maximum(spread, 1e-9))]
 
 
+def _inside(texts: list[np.ndarray], bins: np.ndarray) -> list[np.ndarray]:
+    """Places in ``bins`` of the terms of each text that stand there."""
+    return [np.searchsorted(bins, t[np.isin(t, bins, assume_unique=True)]) for t in texts]
+
+
+def balanced(margins: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Probabilities whose sum is that of the labels, by one shift of all margins."""
+    low, high = -60.0, 60.0
+    for _ in range(50):
+        middle = (low + high) / 2
+        low, high = (middle, high) if logistic(margins + middle).sum() < labels.sum() else (low, middle)
+    return logistic(margins + low)
+
+
+def pair_partners(first: int, last: int, texts: list[np.ndarray], labels: np.ndarray, expected: np.ndarray, n: int) -> np.ndarray:
+    """Those of the ``n`` terms that tell in a pair with one of the terms ``first`` to ``last``.
+
+    A pair tells if the labels of the texts with both terms differ so far from the expected ones that, by Chernoff's bound,
+    chance makes any of all pairs do so with probability ``CHANCE`` at most.
+    """
+    limit = np.log(max(1, n) ** 2 / CHANCE)
+    slope = -np.log(NEAR) / (1 - NEAR)  # the bound grows by no more than this per unit of difference
+    where: dict[int, list[int]] = {}
+    for i, t in enumerate(texts):
+        for a in t[np.searchsorted(t, first):np.searchsorted(t, last)].tolist():
+            where.setdefault(a, []).append(i)
+    off, found = labels - expected, [np.empty(0, np.int64)]
+    for a, rows in where.items():
+        gap = off[rows]
+        if slope * max(gap[gap > 0].sum(), -gap[gap < 0].sum()) < limit:
+            continue
+        ids, sizes = np.concatenate([texts[i] for i in rows]), [len(texts[i]) for i in rows]
+        near = np.flatnonzero(np.abs(np.bincount(ids, np.repeat(gap, sizes), n)) * slope >= limit)
+        near = near[near != a]
+        if not len(near):
+            continue
+        times, toxic, hoped = (np.bincount(ids, np.repeat(x, sizes), n)[near] for x in (np.ones(len(rows)), labels[rows], expected[rows]))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            bound = np.nan_to_num(toxic * np.log(toxic / hoped)) + np.nan_to_num((times - toxic) * np.log((times - toxic) / (times - hoped)))
+        if len(near := near[bound >= limit]):
+            found += [near, np.array([a])]
+    return np.unique(np.concatenate(found))
+
+
+def paired_bins(spark: SparkSession, texts: list[np.ndarray], labels: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """Bins in enough texts that tell in pairs, beyond what ``expected`` explains. The pairs are tried by Spark tasks."""
+    bins, times = np.unique(np.concatenate([*texts, np.empty(0, np.int32)]), return_counts=True)
+    bins = bins[times >= LEAST_DOCS]
+    if not len(bins):
+        return bins
+    sent = spark.sparkContext.broadcast(([t.astype(np.int32) for t in _inside(texts, bins)], labels, np.clip(expected, NEAR, 1 - NEAR)))
+    n, tasks = len(bins), min(64, len(bins))
+
+    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in frames:
+            for k in df["id"]:
+                yield pd.DataFrame({"place": pair_partners(k * n // tasks, (k + 1) * n // tasks, *sent.value, n)})
+
+    found = spark.range(0, tasks, 1, tasks).mapInPandas(search, "place long").distinct().collect()  # at most the sample's terms
+    return bins[sorted(r.place for r in found)]
+
+
 def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> ToxicityModel:
     """Fit on a bounded sample of the labelled documents outside the held-out fold.
 
@@ -137,8 +211,12 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL)
     bins = telling_bins(texts, marks)
     machine = FactorizationMachine(len(bins))
     if len(rows):
-        inside = [np.searchsorted(bins, t[np.isin(t, bins, assume_unique=True)]) for t in texts]
-        machine.fit(inside, marks)
+        machine.fit(_inside(texts, bins), marks)
+        alone = balanced(ToxicityModel(bins, machine).margins(texts), marks)
+        paired = np.setdiff1d(paired_bins(docs.sparkSession, texts, marks, alone), bins) if 0 < marks.mean() < 1 else bins[:0]
+        if len(paired):
+            bins = np.union1d(bins, paired)
+            machine = FactorizationMachine(len(bins)).fit(_inside(texts, bins), marks, PAIR_EPOCHS)
     return ToxicityModel(bins, machine)
 
 

@@ -290,6 +290,20 @@ def test_pairs_of_terms_weigh_more_than_both():
     assert ((margin > 0) == np.array(labels)).mean() > 0.95
 
 
+def test_terms_that_tell_only_in_pairs_are_learned_from_texts(spark):
+    rng = random.Random(3)
+    rows, labels = [], []
+    for i in range(1500):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        words = ["gronk"] * a + ["mirpel"] * b + ["".join(rng.choices("abcdefgh", k=2)) for _ in range(20)]
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(a == b)))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = toxicity.toxicity_digest(docs, marks).where("held_out").join(marks, "doc_id").toPandas()
+    assert (got["predicted"] == got["toxic"]).mean() > 0.95
+
+
 def test_language_mixtures(spark, none):
     docs, _ = labelled(spark)
     got = language.language_digest(docs).toPandas().set_index("doc_id")
