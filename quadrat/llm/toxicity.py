@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrat.llm.keep import kept
-from quadrat.llm.sampling import held_out, labelled_sample
+from quadrat.llm.sampling import held_out, labelled, labelled_sample
 
 BINS = 1 << 20
 
@@ -195,9 +195,12 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL)
     """Fit on a bounded sample of the labelled documents outside the held-out fold.
 
     The sample's terms come to the driver: at most 2 * ``per_label`` small arrays. Labels without a document and documents
-    without a label play no part; without any labels every score is 0.5 or, with one label only, near it.
+    without a label play no part; without any labels every score is 0.5 or, with one label only, near it. Where the bound
+    changes the share of toxic documents, the bias is shifted so that scores refer to the share among all labelled ones.
     """
-    sample = labelled_sample(labels, "toxic", per_label)  # two labels: at most 2 * per_label rows of two numbers
+    marked = labels.select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
+    sample = labelled_sample(marked, "toxic", per_label)  # two labels: at most 2 * per_label rows of two numbers
+    totals = {r["toxic"]: r["count"] for r in labelled(marked, "toxic").groupBy("toxic").count().collect()}
 
     def collect(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
@@ -207,7 +210,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL)
             .mapInPandas(collect, "doc_id long, toxic int, terms binary").collect())
     rows.sort(key=lambda r: (r.doc_id, r.toxic, bytes(r.terms)))
     texts = [np.frombuffer(r.terms, np.int32) for r in rows]
-    marks = np.array([float(r.toxic > 0) for r in rows])
+    marks = np.array([float(r.toxic) for r in rows])
     bins = telling_bins(texts, marks)
     machine = FactorizationMachine(len(bins))
     if len(rows):
@@ -217,6 +220,8 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL)
         if len(paired):
             bins = np.union1d(bins, paired)
             machine = FactorizationMachine(len(bins)).fit(_inside(texts, bins), marks, PAIR_EPOCHS)
+        left_out = {k: max(1.0, n / max(1, per_label)) for k, n in totals.items()}  # labelled documents for each one sampled
+        machine.bias += np.log(left_out.get(1, 1.0) / left_out.get(0, 1.0)) if len(left_out) == 2 else 0.0
     return ToxicityModel(bins, machine)
 
 

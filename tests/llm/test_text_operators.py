@@ -304,6 +304,19 @@ def test_terms_that_tell_only_in_pairs_are_learned_from_texts(spark):
     assert (got["predicted"] == got["toxic"]).mean() > 0.95
 
 
+def test_scores_refer_to_the_natural_share_whatever_the_sample(spark):
+    rng = random.Random(5)
+    rows, labels = [], []
+    for i in range(6000):
+        weak = rng.random() < 0.3
+        words = ["grumble"] * weak + ["".join(rng.choices("abcdefgh", k=2)) for _ in range(10)]
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(rng.random() < (0.3 if weak else 0.03))))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    low, high = (toxicity.train(docs, marks, n).scores(["grumble ab cd", "ab cd", None]) for n in (300, 4000))
+    assert np.abs(low - high).max() < 0.1 and abs(low[0] - 0.3) < 0.1 and low[1] < 0.1
+
+
 def test_language_mixtures(spark, none):
     docs, _ = labelled(spark)
     got = language.language_digest(docs).toPandas().set_index("doc_id")
