@@ -119,9 +119,9 @@ def _passages(texts: DataFrame) -> DataFrame:
 
 
 class PhraseAutomaton:
-    """Aho-Corasick automaton over the ``GRAM``-word blocks of owners' passages."""
+    """Aho-Corasick automaton over the ``GRAM``-word blocks of owners' passages. An owner is (doc_id, words_hash)."""
 
-    def __init__(self, owners: dict[int, list[str]]):
+    def __init__(self, owners: dict[tuple[int, str], list[str]]):
         self.automaton, self.words, places = ahocorasick.Automaton(), {}, defaultdict(list)
         for owner, passages in owners.items():
             for k, passage in enumerate(passages):
@@ -133,7 +133,7 @@ class PhraseAutomaton:
         if places:
             self.automaton.make_automaton()
 
-    def runs(self, text: str, owner: int) -> list[tuple[int, int]]:
+    def runs(self, text: str, owner: tuple[int, str]) -> list[tuple[int, int]]:
         """Word spans of ``WINDOW`` words or more in ``text`` that a passage of ``owner`` has too."""
         if not len(self.automaton):
             return []
@@ -158,20 +158,20 @@ class PhraseAutomaton:
 
 
 def _located(pairs: DataFrame) -> DataFrame:
-    """Spans to remove, from rows of (owner, owned, doc_id, words_hash, starts, passages)."""
+    """Spans to remove, from rows of (owner, owner_hash, owned, doc_id, words_hash, starts, passages)."""
     def locate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
-            at = 0
+            at, keys = 0, list(zip(df["owner"], df["owner_hash"]))
             while at < len(df):
                 owners, size, end = {}, 0, at
-                while end < len(df) and (size < AUTOMATON or df["owner"].iat[end] in owners):
-                    if (owner := df["owner"].iat[end]) not in owners:
+                while end < len(df) and (size < AUTOMATON or keys[end] in owners):
+                    if (owner := keys[end]) not in owners:
                         owners[owner] = list(df["owned"].iat[end])
                         size += sum(map(len, owners[owner]))
                     end += 1
                 automaton, some = PhraseAutomaton(owners), df.iloc[at:end]
                 spans = [merged([(start + a, start + b) for start, text in zip(starts, passages) for a, b in automaton.runs(text, owner)])
-                         for owner, starts, passages in zip(some["owner"], some["starts"], some["passages"])]
+                         for owner, starts, passages in zip(keys[at:end], some["starts"], some["passages"])]
                 yield pd.DataFrame({"doc_id": some["doc_id"].to_numpy(), "words_hash": some["words_hash"].to_numpy(),
                                     "spans": [[{"start": a, "stop": b} for a, b in s] for s in spans]})
                 at = end
@@ -196,8 +196,8 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     owned = rows.join(owners, "hashes").groupBy("doc_id", "words_hash", "owner").agg(F.sort_array(F.collect_set("places")).alias("places"))
     owned = owned.groupBy("doc_id", "words_hash").agg(F.collect_list(F.struct("owner", "places")).alias("owned"))
     passages = stored(_passages(owned.join(texts.hint("merge"), "doc_id")), "passages")
-    sources = passages.where("doc_id = owner").select("owner", F.col("passages").alias("owned"))
-    pairs = passages.where("doc_id > owner").join(sources, "owner").select("owner", "owned", "doc_id", "words_hash", "starts", "passages")
+    sources = passages.where("doc_id = owner").select("owner", F.col("words_hash").alias("owner_hash"), F.col("passages").alias("owned"))
+    pairs = passages.where("doc_id > owner").join(sources, "owner").select("owner", "owner_hash", "owned", "doc_id", "words_hash", "starts", "passages")
     spans = _located(pairs).groupBy("doc_id", "words_hash").agg(F.flatten(F.collect_list("spans")).alias("spans")).where(F.size("spans") > 0)
     return marked.drop("anchors"), spans
 

@@ -223,6 +223,16 @@ def test_ids_that_repeat_with_other_words(spark):
     assert [r[2] for r in got if r[0] < 3] == [0, 0, 0] and [r[2] > 150 for r in got if r[0] == 3].count(True) == 1
 
 
+def test_all_texts_of_a_repeated_id_own_their_words(spark):
+    rng = random.Random(14)
+    one, two = prose(rng, 120), prose(rng, 130)
+    later = [(2, prose(rng, 20) + " " + one + " " + prose(rng, 20)), (3, prose(rng, 20) + " " + two + " " + prose(rng, 20)), (4, one + " " + prose(rng, 5) + " " + two)]
+    docs = spark.createDataFrame([(1, one), (1, two), *later], "doc_id long, text string").coalesce(1)
+    want = removal([(1, one), (1, two), *later])
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.removal_digest(docs).where("doc_id > 1").collect()}
+    assert got == {i: want[i] for i in (2, 3, 4)} and [got[i][1] for i in (2, 3, 4)] == [120, 130, 250]
+
+
 def test_run_hashes_are_equal_for_equal_runs():
     x = np.random.default_rng(1).integers(0, 2**63, 3000).astype(np.uint64)
     y = np.concatenate([x[500:900], x])
