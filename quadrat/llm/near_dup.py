@@ -174,7 +174,7 @@ def verified_links(docs: DataFrame, clusters: DataFrame, percent: int, width: in
     sets = stored(docs.select("doc_id", "text").join(dealt.hint("merge"), "doc_id").mapInPandas(load, "doc_id long, cluster long, blocks int, block int, shingles binary"), "sets")
 
     def inside(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.drop_duplicates("doc_id")
+        df = df.drop_duplicates(["doc_id", "shingles"])
         own = _sets(df["shingles"])
         return pd.DataFrame(forest(df["doc_id"].to_numpy(), own, df["doc_id"].to_numpy(), own, percent), columns=["a", "b"])
 
@@ -202,7 +202,7 @@ def _across_blocks(wide: DataFrame, first: DataFrame, percent: int, block: int)
     some = some.select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "other", F.lit(1).alias("side"), "doc_id", "shingles")
 
     def across(df: pd.DataFrame) -> pd.DataFrame:
-        a, b = df[df["side"] == 0].drop_duplicates("doc_id"), df[df["side"] == 1].drop_duplicates("doc_id")
+        a, b = (df[df["side"] == k].drop_duplicates(["doc_id", "shingles"]) for k in (0, 1))
         links = forest(a["doc_id"].to_numpy(), _sets(a["shingles"]), b["doc_id"].to_numpy(), _sets(b["shingles"]), percent) if len(a) and len(b) else []
         return pd.DataFrame(links, columns=["a", "b"])
 

@@ -175,6 +175,17 @@ def test_near_duplicates(docs, none, block):
     assert near_dup.near_duplicates(none).count() == 0
 
 
+@pytest.mark.parametrize("block", [192, 1])
+def test_near_copies_of_each_text_of_a_repeated_id(spark, block):
+    rng = random.Random(15)
+    one, two, three = prose(rng, 200), prose(rng, 210), prose(rng, 190)
+    rows = [(5, one), (5, two), (6, one + " tail"), (7, two + " tail"), (1, three), (9, two), (9, three + " tail"), (20, prose(rng, 50)), (20, "")]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), 85, block=block).collect()
+    _, least = groups(rows, 85)
+    assert len(got) == len(rows) and all((r.component_id, r.kept) == (least[r.doc_id], least[r.doc_id] == r.doc_id) for r in got)
+    assert set(least.values()) == {1, 20}
+
+
 def test_super_minhash_estimates_similarity():
     rng = np.random.default_rng(2)
     a = rng.integers(0, 2**63, 400).astype(np.uint64)
