@@ -22,10 +22,14 @@ from quadrat.llm.html_pages import labelled_page
 PAGES, EPOCHS, STEP, DECAY = 500, 8, 0.3, 1e-3
 
 #: How elements are read.
-SKIPPED = {"script", "style", "noscript", "template", "head", "svg", "iframe", "object", "canvas", "select", "textarea", "audio", "video", "math"}
+SKIPPED = {"script", "style", "noscript", "template", "head", "iframe", "object", "canvas", "select", "textarea", "audio", "video"}
+#: Tags that leave an open head open; any other, and text, ends it.
+HEAD = {"html", "head", "title", "meta", "link", "base", "basefont", "bgsound", "script", "style", "noscript", "noframes", "template"}
 RAW_TEXT = {"script", "style", "textarea", "title", "iframe", "noscript"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "rp",
-          "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+          "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
+          "math", "mi", "mn", "mo", "ms", "mtext", "mspace", "mrow", "mfrac", "msqrt", "mroot", "mstyle", "merror", "mpadded", "mphantom", "mfenced", "menclose", "msub",
+          "msup", "msubsup", "munder", "mover", "munderover", "mmultiscripts", "mprescripts", "mtable", "mtr", "mtd", "semantics", "annotation"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 STOPS = {"ul", "ol", "dl", "table", "article", "section", "div", "main", "body", "nav", "aside", "form", "footer", "header"}
@@ -58,6 +62,8 @@ def leaf_blocks(page: str | None) -> list[Block]:
 
     def add(text: str) -> None:
         nonlocal linked
+        if stack and stack[-1][0] == "head" and text.strip():
+            close(len(stack) - 1)
         if text and not skipping:
             parts.append(text)
             linked += len(text.strip()) if in_link else 0
@@ -74,6 +80,8 @@ def leaf_blocks(page: str | None) -> list[Block]:
         tag = (found[2] or "").lower()
         if not tag:
             continue
+        if not found[1] and stack and stack[-1][0] == "head" and tag not in HEAD:
+            close(len(stack) - 1)
         if tag in INLINE:
             if tag == "a":
                 in_link = not found[1]

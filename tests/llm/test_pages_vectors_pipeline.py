@@ -20,6 +20,15 @@ def test_blocks_are_read_as_written():
     assert [b.text for b in html_text.leaf_blocks("<div>open <p>never closed <script>x")] == ["open", "never closed"]
 
 
+def test_head_without_its_end_and_formulas():
+    texts = lambda page: [b.text for b in html_text.leaf_blocks(page)]
+    assert texts("<html><head><title>x</title><meta charset=u><style>p{}</style><h1>T</h1><p>Some text.") == ["T", "Some text."]
+    assert texts("<head><title>x</title>\n<b>Bold</b> start<p>more") == ["Bold start", "more"]
+    assert texts("<head><title>x</title>plain<p>more") == ["plain", "more"]
+    assert texts("<head><template><p>no</p></template><title>x</title></head><body><p>yes") == ["yes"]
+    assert texts("<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be.</p><svg><text>label</text><path d=z /></svg>") == ["Let x=1 be.", "label"]
+
+
 def test_labels_of_layouts_not_seen(field):
     right = total = 0
     for seed in range(20_000, 20_200):
