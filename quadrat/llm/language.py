@@ -24,13 +24,13 @@ SAMPLE_PER_LANGUAGE = 2000
 #: Prior count of a trigram, rounds of expectation maximisation, strictness of the penalty.
 PRIOR, ROUNDS, STRICT = 0.3, 8, 4.0
 
-_letters = np.array([chr(c).isalpha() for c in range(1 << 16)])
+_letters = np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
 def trigrams(text: str | None) -> np.ndarray:
     """Hashed trigrams of the lower-cased letters of a text, other characters being one space between words."""
     points = np.frombuffer(f" {(text or '').lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = np.where(points < len(_letters), _letters[np.minimum(points, len(_letters) - 1)], True)
+    letter = _letters[points]
     if not letter.any():
         return np.empty(0, np.int64)
     points = np.where(letter, points, np.uint32(32)).astype(np.uint64)

@@ -338,6 +338,13 @@ def test_scores_refer_to_the_natural_share_whatever_the_sample(spark):
     assert np.abs(low - high).max() < 0.1 and abs(low[0] - 0.3) < 0.1 and low[1] < 0.1
 
 
+def test_symbols_beyond_the_first_plane_are_no_letters():
+    model = language.MixtureModel({"en": np.ones(1 << language.BITS), "de": np.ones(1 << language.BITS)})
+    assert model.predict("\U0001F600 12 \U0001F680\U0001F4A9") == ("und", 0.0, [], [])
+    assert np.array_equal(language.trigrams("one \U0001F600 two"), language.trigrams("one two"))
+    assert len(language.trigrams("\U00010400\U00020000")) == 2  # a Deseret letter and an ideograph
+
+
 def test_language_mixtures(spark, none):
     docs, _ = labelled(spark)
     got = language.language_digest(docs).toPandas().set_index("doc_id")
