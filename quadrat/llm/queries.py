@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from quadrat.llm import fingerprints, html_text, language, mixing, near_dup, neighbours, packing, pieces, substring, token_store, toxicity
+from quadrat.llm import fingerprints, html_text, language, mixing, near_dup, neighbours, packing, pieces, substring, token_store, toxicity, variants
 from quadrat.session import shared_folder, stored
 from quadrat.sources.tables import scan_parquet
 
@@ -105,6 +105,14 @@ def op11_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.piece_digest(scan_parquet(spark, folder, "documents"))
 
 
+@query
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.group_variants(scan_parquet(spark, folder, "documents"))
+
+
+SQL["op12_spelling_variants"] = variants.SQL
+
+
 @query
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
