@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from quadrat.llm import fingerprints, html_text, language, mixing, near_dup, neighbours, packing, pieces, substring, token_store, toxicity, variants
+from quadrat.llm import fingerprints, html_text, language, mixing, near_dup, neighbours, packing, pieces, substring, token_store, toxicity, variants, vector_codes
 from quadrat.session import shared_folder, stored
 from quadrat.sources.tables import scan_parquet
 
@@ -113,6 +113,14 @@ def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
 SQL["op12_spelling_variants"] = variants.SQL
 
 
+@query
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.code_digest(scan_parquet(spark, folder, "embeddings"))
+
+
+SQL["op13_vector_codes"] = vector_codes.SQL
+
+
 @query
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
