@@ -242,12 +242,19 @@ def _nation_counts(t):
 
 @query()
 def nmds_of_nations(t):
-    return O.ordinate_nmds(cut_lineage(K.bray_curtis(_nation_counts(t))), iterations=5)
+    return O.ordinate_nmds(cut_lineage(K.bray_curtis(_nation_counts(t))))
 
 
-@query()
+@query(_BRAY_TAXA + _COORDS.replace("+coords", ", coords") + """, pts AS (SELECT id_a, id_b, round(dist.d, 9) AS d, sqrt((a.axis1 - b.axis1) ** 2 + (a.axis2 - b.axis2) ** 2) AS o
+ FROM dist JOIN coords a ON a.sample_id = id_a JOIN coords b ON b.sample_id = id_b),
+cell AS (SELECT d, sum(o) AS s, count(*) AS w, row_number() OVER (ORDER BY d) AS i FROM pts GROUP BY d),
+cum AS (SELECT *, sum(s) OVER (ORDER BY i) AS cs, sum(w) OVER (ORDER BY i) AS cw FROM cell),
+ab AS (SELECT a.i AS a, b.i AS b, (b.cs - a.cs + a.s) / (b.cw - a.cw + a.w) AS m FROM cum a JOIN cum b ON b.i >= a.i),
+low AS (SELECT a, b AS i, min(m) OVER (PARTITION BY a ORDER BY b ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS v FROM ab),
+fits AS (SELECT i, max(v) AS fit FROM low GROUP BY i)
+SELECT id_a, id_b, pts.d, round(o, 8) AS ord_d, round(fit, 8) AS fit FROM pts JOIN cell ON cell.d = pts.d JOIN fits ON fits.i = cell.i""", "counts site_variables")
 def shepard_points(t):
-    return O.shepard(_bray_written(t), _coords(t))
+    return rounded(O.shepard(rounded(_bray_written(t), 9, "d"), _coords(t)), 8, "ord_d", "fit")
 
 
 _SIZE = """+ns AS (SELECT count(DISTINCT sample_id) AS n FROM counts), geo AS (SELECT taxon_id, avg(ln(count)) AS g FROM counts WHERE count > 0 GROUP BY 1 HAVING count(*) = (SELECT n FROM ns)),
