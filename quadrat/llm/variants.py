@@ -23,8 +23,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 EDITS, GRAM = 1, 2
 
-#: What one edit before a gram does to the length of its word and the gram's place: nothing, one more, one fewer.
-MOVES = ((0, 0), (1, 0), (1, 1), (-1, 0), (-1, -1))
+#: Where the part that agrees lies, and what the edit does to the length.
+MOVES = tuple((side, longer) for side in ("start", "end") for longer in (0, 1, -1))
 
 
 def spelled(doc_id: Column, run: Column, modulus: int) -> Column:
@@ -85,15 +85,22 @@ def near_pairs(words: DataFrame) -> DataFrame:
 
     kinds = "word string, n long, last int, prefix array<struct<gram:int,place:int>>, pivots array<struct<gram:int,place:int>>"
     planned = stored(words.mapInPandas(plan, kinds), "pivots").withColumn("length", F.length("word"))
-    moves = F.array(*(F.struct(F.lit(a).alias("longer"), F.lit(b).alias("later")) for a, b in MOVES))
+
+    def part(side: Column) -> Column:
+        """The word from its start to the gram's end, or from the gram to its end."""
+        return F.when(side == "start", F.substring(F.col("word"), F.lit(1), F.col("g.place") + GRAM)).otherwise(
+            F.substring(F.col("word"), F.col("g.place") + 1, F.col("length")))
+
+    moves = F.array(*(F.struct(F.lit(s).alias("side"), F.lit(n).alias("longer")) for s, n in MOVES))
+    sides = F.array(F.lit("start"), F.lit("end"))
     asks = (planned.select("word", "n", "last", "length", F.explode("pivots").alias("g"))
             .select("word", "n", "last", "length", "g", F.explode(moves).alias("m"))
-            .select(F.col("word").alias("p"), F.col("n").alias("p_n"), F.col("last").alias("p_last"), F.col("g.gram").alias("gram"),
-                    (F.col("length") + F.col("m.longer")).alias("length"), (F.col("g.place") + F.col("m.later")).alias("place")))
+            .select(F.col("word").alias("p"), F.col("n").alias("p_n"), F.col("last").alias("p_last"), F.col("m.side").alias("side"),
+                    part(F.col("m.side")).alias("part"), (F.col("length") + F.col("m.longer")).alias("length")))
     holds = (planned.select("word", "n", "last", "length", F.explode("prefix").alias("g"))
-             .select(F.col("word").alias("q"), F.col("n").alias("q_n"), F.col("last").alias("q_last"), F.col("g.gram").alias("gram"),
-                     "length", F.col("g.place").alias("place")))
-    met = asks.hint("merge").join(holds, ["gram", "length", "place"]).where(
+             .select("word", "n", "last", "length", "g", F.explode(sides).alias("side"))
+             .select(F.col("word").alias("q"), F.col("n").alias("q_n"), F.col("last").alias("q_last"), "side", part(F.col("side")).alias("part"), "length"))
+    met = asks.hint("merge").join(holds, ["side", "part", "length"]).where(
         (F.col("p_last") <= F.col("q_last")) & (F.levenshtein("p", "q", EDITS) == EDITS))
     first = F.col("p") < F.col("q")
     return met.select(F.least("p", "q").alias("a"), F.when(first, F.col("p_n")).otherwise(F.col("q_n")).alias("a_n"),
