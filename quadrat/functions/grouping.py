@@ -112,15 +112,17 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[st
     return cells.groupBy(*by).agg(F.max("size").alias("n"), *aggs).select(*by, "n", *final)
 
 
-def number_keys(df: DataFrame, key: str, number: str) -> DataFrame:
-    """Number the distinct keys 1..n in the order of (md5(key), key).
+def number_keys(df: DataFrame, key: str, number: str, by: Sequence[str] = ()) -> DataFrame:
+    """Number the distinct keys (of each group ``by``) 1..n in the order of (md5(key), key).
 
     The hash order splits the numbering evenly over 4096 prefixes whatever the keys look like; only the
-    4096 prefix counts meet in one task.
+    4096 prefix counts of a group meet in one task.
     """
-    dim = (df.select(key).distinct().withColumn("_h", F.md5(F.col(key).cast("string").cast("binary")))
+    dim = (df.select(*by, key).distinct().withColumn("_h", F.md5(F.col(key).cast("string").cast("binary")))
            .withColumn("_p", F.substring("_h", 1, 3)))
-    offsets = dim.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).withColumn(
-        "_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    local = dim.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy("_h", key)))
-    return local.join(F.broadcast(offsets.drop("_n")), "_p").select(key, (F.col("_i") + F.col("_before")).alias(number))
+    counts = dim.groupBy(*by, "_p").agg(F.count(F.lit(1)).alias("_n"))
+    ahead = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).drop("_n")
+    local = dim.withColumn("_i", F.row_number().over(Window.partitionBy(*by, "_p").orderBy("_h", key)))
+    placed = keyed_join(local, offsets, [*by, "_p"], "inner") if by else local.join(F.broadcast(offsets), "_p")  # 4096 rows
+    return placed.select(*by, key, (F.col("_i") + F.col("_before")).alias(number))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from quadrat.functions.exchange import moved_sql
 from quadrat.operators import abundance as A
 from quadrat.operators import community as K
 from quadrat.operators import ordination as O
@@ -11,7 +12,7 @@ from quadrat.session import cut_lineage
 
 REGIONS = ["0", "1", "2", "3", "4"]
 RANKS = ["kingdom", "phylum", "genus"]
-PERMS = 199
+PERMS = 999
 
 
 @query("SELECT sample_id, 'goods' AS kingdom, p_type AS phylum, CAST(sum(count) AS BIGINT) AS count FROM part_counts JOIN part ON p_partkey = taxon_id GROUP BY 1, 2, 3",
@@ -110,10 +111,8 @@ def paired_distances(t):
     return rounded(K.dist_pairs_join(K.bray_curtis(t.counts()), _site_distance(t)), 9, "d1", "d2")
 
 
-_PERM = """, perms AS (SELECT unnest(range(0, {p} + 1)) AS perm),
-home AS (SELECT sample_id, row_number() OVER (ORDER BY sample_id) AS pos FROM samples),
-moved AS (SELECT perm, sample_id AS source, row_number() OVER (PARTITION BY perm ORDER BY CASE WHEN perm = 0 THEN '' ELSE md5(concat_ws(':', CAST(sample_id AS VARCHAR), CAST(perm AS VARCHAR), '123')) END, sample_id) AS pos FROM samples, perms)
-""".replace("{p}", str(PERMS))
+_PERM = """, numbered AS (SELECT sample_id, row_number() OVER (ORDER BY md5(CAST(sample_id AS VARCHAR)), sample_id) - 1 AS no, count(*) OVER () AS n FROM samples),
+""" + moved_sql("numbered", "", PERMS)
 
 
 def _bray_written(t):
@@ -121,35 +120,61 @@ def _bray_written(t):
     return cut_lineage(K.bray_curtis(t.counts()))
 
 
-@query(_BRAY_TAXA + _PERM + """, lab AS (SELECT perm, h.sample_id, s.region AS g FROM moved m JOIN home h ON h.pos = m.pos JOIN samples s ON s.sample_id = m.source),
+@query(_BRAY_TAXA + _PERM + """, lab AS (SELECT perm, h.sample_id, s.region AS g FROM moved m JOIN numbered h ON h.no = m.place JOIN samples s ON s.sample_id = m.sample_id),
 n AS (SELECT region AS g, count(*) AS n FROM samples GROUP BY 1), size_of AS (SELECT sum(n) AS n, count(*) AS k FROM n), sst AS (SELECT sum(d * d) AS s FROM dist),
-w AS (SELECT a.perm, sum(s.d2 / n.n) AS ssw FROM (SELECT a.perm, a.g, sum(d * d) AS d2 FROM dist JOIN lab a ON a.sample_id = id_a JOIN lab b ON b.sample_id = id_b AND b.perm = a.perm AND b.g = a.g GROUP BY 1, 2) s
- JOIN n ON n.g = s.g JOIN (SELECT DISTINCT perm FROM lab) a ON a.perm = s.perm GROUP BY 1),
+w AS (SELECT s.perm, sum(s.d2 / n.n) AS ssw FROM (SELECT a.perm, a.g, sum(d * d) AS d2 FROM dist JOIN lab a ON a.sample_id = id_a JOIN lab b ON b.sample_id = id_b AND b.perm = a.perm AND b.g = a.g GROUP BY 1, 2) s
+ JOIN n ON n.g = s.g GROUP BY 1),
 f AS (SELECT perm, sst.s / n AS ss_t, ssw, ((sst.s / n - ssw) / (k - 1)) / (ssw / (n - k)) AS f FROM w, size_of, sst)
 SELECT 'region' AS term, round(ss_t - ssw, 7) AS ss, round(1 - ssw / ss_t, 7) AS r2, round(f, 6) AS pseudo_f,
-(1.0 + (SELECT count(*) FROM f x WHERE x.perm > 0 AND x.f >= f.f - 1e-9 * greatest(abs(f.f), 1))) / 200.0 AS p FROM f WHERE perm = 0""", "counts samples")
+(1.0 + (SELECT count(*) FROM f x WHERE x.perm > 0 AND x.f >= f.f - 1e-9 * greatest(abs(f.f), 1))) / 1000.0 AS p FROM f WHERE perm = 0""", "counts samples")
 def permanova_one_way(t):
     out = P.permanova(_bray_written(t), t.samples(), ["region"], PERMS).filter("term = 'region'")
     return rounded(rounded(out.select("term", "ss", "r2", "pseudo_f", "p"), 7, "ss", "r2"), 6, "pseudo_f")
 
 
-@query()
+_LEVEL_PAIRS = """, lv AS (SELECT x.region || ' vs ' || y.region AS pair, x.region AS l1, y.region AS l2 FROM (SELECT DISTINCT region FROM samples) x JOIN (SELECT DISTINCT region FROM samples) y ON x.region < y.region),
+part_of AS (SELECT pair, sample_id, region, half FROM samples JOIN lv ON region = l1 OR region = l2)"""
+_ONE_SET = ", part_of AS (SELECT 'all' AS pair, sample_id, region, half FROM samples)"
+#: Region, half within region and their interaction for each set: two levels of half, so its part is one projection.
+_TERMS = """, numbered AS (SELECT pair, sample_id, row_number() OVER (PARTITION BY pair ORDER BY md5(CAST(sample_id AS VARCHAR)), sample_id) - 1 AS no, count(*) OVER (PARTITION BY pair) AS n FROM part_of),
+""" + moved_sql("numbered", "pair, ", PERMS) + """,
+told AS (SELECT pair, sample_id, region AS g, half AS h, count(*) OVER (PARTITION BY pair, region) AS ng, count(*) OVER (PARTITION BY pair, region, half) AS nc,
+ CAST(half = 'even' AS INTEGER) - avg(CAST(half = 'even' AS INTEGER)) OVER (PARTITION BY pair, region) AS v FROM part_of),
+lab AS (SELECT m.pair, m.perm, n.sample_id, t.g, t.h, t.ng, t.nc, t.v FROM moved m JOIN numbered n ON n.pair = m.pair AND n.no = m.place JOIN told t ON t.pair = m.pair AND t.sample_id = m.sample_id),
+base AS (SELECT pair, count(*) AS n, sum(v * v) AS vv, count(DISTINCT g) AS kg, count(DISTINCT g || h) AS kc FROM told GROUP BY 1),
+s AS (SELECT a.pair, a.perm, sum(d * d) AS t, sum(CASE WHEN a.g = b.g THEN d * d / a.ng ELSE 0 END) AS w1,
+ sum(CASE WHEN a.g = b.g AND a.h = b.h THEN d * d / a.nc ELSE 0 END) AS w2, -sum(a.v * b.v * d * d) AS q
+ FROM dist JOIN lab a ON a.sample_id = id_a JOIN lab b ON b.sample_id = id_b AND b.pair = a.pair AND b.perm = a.perm GROUP BY 1, 2),
+parts AS (SELECT s.pair, perm, t / n AS tt, t / n - w1 AS ss0, q / vv AS ss1, w1 - w2 - q / vv AS ss2, w2 AS res, kg - 1 AS df0, 1 AS df1, kc - kg - 1 AS df2, n - kc AS dfr FROM s JOIN base ON base.pair = s.pair),
+f AS (SELECT pair, perm, unnest([0, 1, 2]) AS place, unnest(['region', 'half', 'region:half']) AS term, unnest([df0, df1, df2]) AS df, unnest([ss0, ss1, ss2]) AS ss, tt,
+ unnest([ss0 / df0, ss1 / df1, ss2 / df2]) / (res / dfr) AS f FROM parts),
+p AS (SELECT o.pair, o.place, o.term, max(o.df) AS df, max(o.ss) AS ss, max(o.ss / o.tt) AS r2, max(o.f) AS f,
+ (1.0 + count(*) FILTER (x.f >= o.f - 1e-9 * greatest(abs(o.f), 1))) / 1000.0 AS p FROM f o JOIN f x ON x.pair = o.pair AND x.place = o.place AND x.perm > 0 WHERE o.perm = 0 GROUP BY ALL)
+"""
+
+
+@query(_BRAY_TAXA + _ONE_SET + _TERMS + """SELECT term, CAST(df AS DOUBLE) AS df, round(ss, 7) AS ss, round(r2, 7) AS r2, round(f, 6) AS pseudo_f, p FROM p
+UNION ALL SELECT 'Residual', dfr, round(res, 7), round(res / tt, 7), NULL, NULL FROM parts WHERE perm = 0
+UNION ALL SELECT 'Total', df0 + df1 + df2 + dfr, round(tt, 7), 1.0, NULL, NULL FROM parts WHERE perm = 0""", "counts samples")
 def permanova_two_factors(t):
-    return P.permanova(_bray_written(t), t.samples(), ["region", "half"], PERMS)
+    out = P.permanova(_bray_written(t), t.samples(), ["region", "half"], PERMS).drop("place")
+    return rounded(rounded(out, 7, "ss", "r2"), 6, "pseudo_f")
+
+
+@query(_BRAY_TAXA + _LEVEL_PAIRS + _TERMS + """SELECT pair, term, CAST(df AS DOUBLE) AS df, round(ss, 7) AS ss, round(r2, 7) AS r2, round(f, 6) AS pseudo_f, p,
+round(least(p * (SELECT count(DISTINCT pair) FROM p), 1.0), 9) AS p_adjusted FROM p""", "counts samples")
+def pairwise_permanova_two_factors(t):
+    out = P.pairwise_terms(_bray_written(t), t.samples(), "region", REGIONS, ["half"], PERMS).filter("place < 3").drop("place")
+    return rounded(rounded(rounded(out, 7, "ss", "r2"), 6, "pseudo_f"), 9, "p_adjusted")
 
 
-_PAIRWISE = _BRAY_TAXA + """, lv AS (SELECT x.region || ' vs ' || y.region AS pair, x.region AS l1, y.region AS l2 FROM (SELECT DISTINCT region FROM samples) x JOIN (SELECT DISTINCT region FROM samples) y ON x.region < y.region),
-part_of AS (SELECT pair, sample_id, CASE WHEN region = l1 THEN 0 ELSE 1 END AS c FROM samples JOIN lv ON region = l1 OR region = l2),
-n AS (SELECT pair, count(*) FILTER (c = 0) AS n0, count(*) FILTER (c = 1) AS n1 FROM part_of GROUP BY 1),
-perms AS (SELECT unnest(range(0, 200)) AS perm),
-home AS (SELECT pair, sample_id, row_number() OVER (PARTITION BY pair ORDER BY sample_id) AS pos FROM part_of),
-moved AS (SELECT pair, perm, c, row_number() OVER (PARTITION BY pair, perm ORDER BY CASE WHEN perm = 0 THEN '' ELSE md5(concat_ws(':', CAST(sample_id AS VARCHAR), CAST(perm AS VARCHAR), '123')) END, sample_id) AS pos FROM part_of, perms),
-lab AS (SELECT h.pair, perm, h.sample_id, c FROM moved m JOIN home h ON h.pair = m.pair AND h.pos = m.pos),
-s AS (SELECT a.pair, a.perm, sum(d * d) AS t, sum(CASE WHEN a.c = 0 AND b.c = 0 THEN d * d ELSE 0 END) AS s0, sum(CASE WHEN a.c = 1 AND b.c = 1 THEN d * d ELSE 0 END) AS s1
+_PAIRWISE = _BRAY_TAXA + _LEVEL_PAIRS + _TERMS[:_TERMS.index("base AS")] + """
+n AS (SELECT pair, count(*) AS n FROM part_of GROUP BY 1),
+s AS (SELECT a.pair, a.perm, sum(d * d) AS t, sum(CASE WHEN a.g = b.g THEN d * d / a.ng ELSE 0 END) AS w
  FROM dist JOIN lab a ON a.sample_id = id_a JOIN lab b ON b.sample_id = id_b AND b.pair = a.pair AND b.perm = a.perm GROUP BY 1, 2),
-f AS (SELECT s.pair, perm, t / (n0 + n1) AS tt, s0 / n0 + s1 / n1 AS w, (t / (n0 + n1) - (s0 / n0 + s1 / n1)) / ((s0 / n0 + s1 / n1) / (n0 + n1 - 2)) AS f FROM s JOIN n ON n.pair = s.pair),
+f AS (SELECT s.pair, perm, t / n AS tt, w, (t / n - w) / (w / (n - 2)) AS f FROM s JOIN n ON n.pair = s.pair),
 p AS (SELECT o.pair, round(max(o.tt - o.w), 7) AS ss, round(max(1 - o.w / o.tt), 7) AS r2, round(max(o.f), 6) AS pseudo_f,
- (1.0 + count(*) FILTER (x.f >= o.f - 1e-9 * greatest(abs(o.f), 1))) / 200.0 AS p FROM f o JOIN f x ON x.pair = o.pair AND x.perm > 0 WHERE o.perm = 0 GROUP BY 1)
+ (1.0 + count(*) FILTER (x.f >= o.f - 1e-9 * greatest(abs(o.f), 1))) / 1000.0 AS p FROM f o JOIN f x ON x.pair = o.pair AND x.perm > 0 WHERE o.perm = 0 GROUP BY 1)
 SELECT pair, ss, r2, pseudo_f, p, round(least(p * (SELECT count(*) FROM p), 1.0), 9) AS p_adjusted FROM p"""
 
 
@@ -160,13 +185,13 @@ def pairwise_permanova(t):
 
 
 _MANTEL = _BRAY_TAXA + _EUCLID.replace("+w", ", w") + """, samples AS (SELECT DISTINCT sample_id FROM counts)
-""" + _PERM.replace(", perms", ", perms", 1) + """, both_d AS ({both}),
-lab AS (SELECT perm, h.sample_id, m.source FROM moved m JOIN home h ON h.pos = m.pos),
+""" + _PERM + """, both_d AS ({both}),
+lab AS (SELECT perm, m.sample_id, h.sample_id AS source FROM moved m JOIN numbered h ON h.no = m.place),
 mom AS (SELECT count(*) AS n, avg(x) AS mx, avg(y) AS my, sqrt(regr_sxx(x, y) * regr_syy(x, y)) AS sc FROM both_d),
 r AS (SELECT a.perm, sum(p.x * q.y) AS xy FROM both_d p JOIN lab a ON a.sample_id = p.id_a JOIN lab b ON b.sample_id = p.id_b AND b.perm = a.perm
  JOIN both_d q ON q.id_a = least(a.source, b.source) AND q.id_b = greatest(a.source, b.source) GROUP BY 1),
 c AS (SELECT perm, (xy - n * mx * my) / sc AS r, n FROM r, mom)
-SELECT round(r, 8) AS r, (1.0 + (SELECT count(*) FROM c x WHERE x.perm > 0 AND x.r >= c.r - 1e-9)) / 200.0 AS p, n AS n_pairs FROM c WHERE perm = 0"""
+SELECT round(r, 8) AS r, (1.0 + (SELECT count(*) FROM c x WHERE x.perm > 0 AND x.r >= c.r - 1e-9)) / 1000.0 AS p, n AS n_pairs FROM c WHERE perm = 0"""
 _BOTH = "SELECT b.id_a, b.id_b, b.d AS x, e.d AS y FROM dist b JOIN edist e ON e.id_a = b.id_a AND e.id_b = b.id_b"
 _BOTH_RANKED = """SELECT id_a, id_b, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS x, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS y
 FROM (SELECT b.id_a, b.id_b, round(b.d, 10) AS x, round(e.d, 12) AS y FROM dist b JOIN edist e ON e.id_a = b.id_a AND e.id_b = b.id_b)"""
@@ -194,11 +219,11 @@ _COORDS = "+coords AS (SELECT sample_id, disc * 100 AS axis1, tax * 100 AS axis2
 
 @query(_COORDS + _PERM + """, sites AS (SELECT c.sample_id, axis1, axis2, qty, price, s_acctbal FROM coords c JOIN site_variables v ON v.sample_id = c.sample_id JOIN samples s ON s.sample_id = c.sample_id),
 long AS (UNPIVOT sites ON qty, price, s_acctbal INTO NAME variable VALUE v),
-x AS (SELECT m.perm, l.variable, c.axis1, c.axis2, l.v FROM moved m JOIN home h ON h.pos = m.pos JOIN coords c ON c.sample_id = h.sample_id JOIN long l ON l.sample_id = m.source),
+x AS (SELECT m.perm, l.variable, c.axis1, c.axis2, l.v FROM moved m JOIN numbered h ON h.no = m.place JOIN coords c ON c.sample_id = h.sample_id JOIN long l ON l.sample_id = m.sample_id),
 s AS (SELECT perm, variable, var_pop(axis1) AS a, var_pop(axis2) AS b, covar_pop(axis1, axis2) AS c, covar_pop(axis1, v) AS u, covar_pop(axis2, v) AS w, var_pop(v) AS vv FROM x GROUP BY 1, 2),
 q AS (SELECT perm, variable, (u * b - w * c) / (a * b - c * c) AS b1, (w * a - u * c) / (a * b - c * c) AS b2, u, w, vv FROM s),
 f AS (SELECT perm, variable, b1 / sqrt(b1 * b1 + b2 * b2) AS axis1, b2 / sqrt(b1 * b1 + b2 * b2) AS axis2, (b1 * u + b2 * w) / vv AS r2 FROM q)
-SELECT o.variable, round(max(o.r2), 8) AS r2, round(max(o.axis1), 6) AS axis1, round(max(o.axis2), 6) AS axis2, (1.0 + count(*) FILTER (x.r2 >= o.r2 - 1e-9)) / 200.0 AS p,
+SELECT o.variable, round(max(o.r2), 8) AS r2, round(max(o.axis1), 6) AS axis1, round(max(o.axis2), 6) AS axis2, (1.0 + count(*) FILTER (x.r2 >= o.r2 - 1e-9)) / 1000.0 AS p,
 round(max(o.axis1 * sqrt(o.r2)), 6) AS arrow1, round(max(o.axis2 * sqrt(o.r2)), 6) AS arrow2 FROM f o JOIN f x ON x.variable = o.variable AND x.perm > 0 WHERE o.perm = 0 GROUP BY 1""",
        "site_variables samples")
 def envfit_vectors(t):
@@ -207,10 +232,10 @@ def envfit_vectors(t):
     return rounded(rounded(out, 8, "r2"), 6, "axis1", "axis2", "arrow1", "arrow2")
 
 
-@query(_COORDS + _PERM + """, lab AS (SELECT perm, h.sample_id, s.region AS g FROM moved m JOIN home h ON h.pos = m.pos JOIN samples s ON s.sample_id = m.source),
+@query(_COORDS + _PERM + """, lab AS (SELECT perm, h.sample_id, s.region AS g FROM moved m JOIN numbered h ON h.no = m.place JOIN samples s ON s.sample_id = m.sample_id),
 i AS (SELECT perm, g, (var_pop(axis1) + var_pop(axis2)) * count(*) AS ss FROM lab JOIN coords c ON c.sample_id = lab.sample_id GROUP BY 1, 2),
 tt AS (SELECT (var_pop(axis1) + var_pop(axis2)) * count(*) AS t FROM coords), f AS (SELECT perm, 1 - sum(ss) / max(t) AS r2 FROM i, tt GROUP BY 1)
-SELECT 'region' AS factor, round(r2, 8) AS r2, (1.0 + (SELECT count(*) FROM f x WHERE x.perm > 0 AND x.r2 >= f.r2 - 1e-9)) / 200.0 AS p FROM f WHERE perm = 0""", "site_variables samples")
+SELECT 'region' AS factor, round(r2, 8) AS r2, (1.0 + (SELECT count(*) FROM f x WHERE x.perm > 0 AND x.r2 >= f.r2 - 1e-9)) / 1000.0 AS p FROM f WHERE perm = 0""", "site_variables samples")
 def envfit_factors(t):
     return rounded(O.envfit_factors(_coords(t), t.samples(), "region", PERMS), 8, "r2")
 

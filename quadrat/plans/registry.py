@@ -103,7 +103,7 @@ def with_ctes(names: str, body: str) -> str:
     wanted: list[str] = []
     for name in names.split():
         wanted += [n for n in [*_NEEDS.get(name, []), name] if n not in wanted]
-    return "WITH " + ", ".join(f"{n} AS ({CTE[n]})" for n in wanted) + (", " if body.lstrip().startswith("+") else " ") + body.lstrip().lstrip("+")
+    return ("WITH RECURSIVE " if "UNION ALL SELECT * EXCLUDE" in body else "WITH ") + ", ".join(f"{n} AS ({CTE[n]})" for n in wanted) + (", " if body.lstrip().startswith("+") else " ") + body.lstrip().lstrip("+")
 
 
 def query(sql: str | None = None, ctes: str = ""):

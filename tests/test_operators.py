@@ -212,22 +212,6 @@ def test_permanova_of_one_variable_is_the_f_test(spark, community):
     assert parts == pytest.approx(got["Total"]["ss"])
 
 
-def test_permutation_passes_do_not_change_the_result(community, monkeypatch):
-    _, df, design = community
-    pairs = cut_lineage(K.bray_curtis(df))
-    second = cut_lineage(K.euclidean(df))
-    whole = (P.pairwise_permanova(pairs, design, "a", ["a", "b", "c"], 29).orderBy("pair").collect(),
-             P.mantel(pairs, second, "spearman", 29).collect())
-    monkeypatch.setattr(P, "BROADCAST_LABELS", 300)
-    monkeypatch.setattr(P, "BROADCAST_PAIRS", 10)
-    split = (P.pairwise_permanova(pairs, design, "a", ["a", "b", "c"], 29).orderBy("pair").collect(),
-             P.mantel(pairs, second, "spearman", 29).collect())
-    for w, s in zip(itertools.chain(*whole), itertools.chain(*split)):
-        assert all(a == pytest.approx(b) if isinstance(a, float) else a == b for a, b in zip(w, s))
-    own = P.mantel(pairs, pairs, "pearson", 19).first()
-    assert own["r"] == pytest.approx(1) and own["p"] == pytest.approx(1 / 20)
-
-
 def test_ordination(spark, community):
     flat = spark.createDataFrame([(f"s{i:02d}", k, float(v)) for i in range(9) for k, v in (("x", i % 3), ("y", i // 3))],
                                  "sample_id string, taxon_id string, count double")
