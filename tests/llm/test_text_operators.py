@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quadrat.llm import fingerprints, language, mixing, near_dup, packing, substring, token_store, toxicity
+from quadrat.llm import encoding
 from quadrat.llm.encoding import Encoder
 from quadrat.llm.words import run_hashes
 from quadrat.session import shared_folder
@@ -48,7 +49,6 @@ def none(spark):
 @functools.cache
 def library(vocabulary):
     tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
-    tokenizer.encode_special_tokens = True
     return tokenizer
 
 
@@ -65,6 +65,20 @@ def test_encoder_equals_the_library(vocabulary, keeps_space):
     assert [x.tolist() for x in ours] == [encoded(t, vocabulary, 0)[:-1].tolist() for t in texts]
 
 
+@pytest.mark.parametrize("vocabulary,keeps_space", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_strings_of_special_tokens_and_long_chunks(vocabulary, keeps_space, monkeypatch):
+    texts = ["a <|endoftext|> b", "x<|endoftext|>y", "<|ENDOFTEXT|> a", "<|startoftext|>", "<| endoftext |>", "ab" * 5000 + "!" * 5000 + " c", "!" * 400 + " d" + "?" * 400]
+    own = Encoder(vocabulary, keeps_space)
+    assert [x.tolist() for x in own.encode(texts)] == [encoded(t, vocabulary, 0)[:-1].tolist() for t in texts]
+    assert max(map(len, [*own.whole, *own.tails, *own.after_space])) <= encoding.LONG and own.held > 0
+    monkeypatch.setattr(encoding, "REMEMBER", 10)
+    assert [x.tolist() for t in texts for x in own.encode([t])] == [encoded(t, vocabulary, 0)[:-1].tolist() for t in texts] and own.held <= 10
+    text = Tokenizer.from_file(public_tokenizers.path(vocabulary))
+    text.encode_special_tokens = True
+    as_text = Encoder(vocabulary, keeps_space, special_as_text=True).encode(texts)
+    assert [x.tolist() for x in as_text] == [text.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_token_store_round_trip(spark, docs, none):
     folder = shared_folder(spark, "store")
     token_store.write_store(docs, folder, "word_bpe_49k.json")
