@@ -53,4 +53,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to a new shared folder and read it back: cuts lineage and survives lost executors."""
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def spent(table: DataFrame) -> None:
+    """Remove the folder of a table that ``stored`` gave, once everything that reads it has been written."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -258,6 +258,24 @@ def test_all_texts_of_a_repeated_id_own_their_words(spark):
     assert got == {i: want[i] for i in (2, 3, 4)} and [got[i][1] for i in (2, 3, 4)] == [120, 130, 250]
 
 
+def test_small_slices_and_automata_change_nothing(spark, docs, monkeypatch):
+    want = sorted(substring.removal_digest(docs).collect(), key=str)
+    monkeypatch.setattr(substring, "SLICE", 2)
+    monkeypatch.setattr(substring, "AUTOMATON", 200)
+    assert sorted(substring.removal_digest(docs).collect(), key=str) == want
+
+
+def test_texts_of_repeated_words(spark):
+    rng = random.Random(15)
+    flat = "word " * 100_000
+    rows = [(1, "word " * 300 + prose(rng, 60)), (2, flat), (3, prose(rng, 10) + " " + "word " * 60 + prose(rng, 10)), (4, "a b " * 5000), (5, "b a " * 40)]
+    got = {r.doc_id: r.n_removed for r in substring.removal_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 100_000, 3: 60, 4: 0, 5: 80}
+    small = [(i, t[:2000]) for i, t in rows]
+    want = removal(small)
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.removal_digest(spark.createDataFrame(small, "doc_id long, text string")).collect()} == want
+
+
 def test_run_hashes_are_equal_for_equal_runs():
     x = np.random.default_rng(1).integers(0, 2**63, 3000).astype(np.uint64)
     y = np.concatenate([x[500:900], x])
