@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from quadrat.session import stored
+from quadrat.session import spent, stored
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -43,7 +43,9 @@ def components(edges: DataFrame) -> DataFrame:
     now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
     now, state = _written(now)
     while state[0]:
-        now, after = _written(_small_star(_large_star(now).distinct()).distinct())
+        before = now
+        now, after = _written(_small_star(_large_star(before).distinct()).distinct())
+        spent(before)
         if after == state:
             break
         state = after
