@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,29 +34,38 @@ def _poly(coefs, x: Column) -> Column:
     return out
 
 
-def shapiro(df: DataFrame, by: Sequence[str], x: str, p_value: bool = True) -> DataFrame:
-    """Shapiro-Wilk W (and p). Groups outside 3..5000 rows, or without spread, get NULL."""
+def _copies(cells: DataFrame) -> DataFrame:
+    """One row per observation of ``rank_cells`` with ``_i``, its place in the group; copies of one value in chunks, never as
+    one long array."""
+    chunk = 10_000
+    starts = cells.withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("ties") - 1, F.lit(chunk))))
+    return starts.withColumn("_k", F.explode(F.sequence(F.col("_s"), F.least(F.col("_s") + chunk, F.col("ties")) - 1))).withColumn(
+        "_i", F.col("before") + F.col("_k") + 1)
+
+
+def shapiro(df: DataFrame, by: Sequence[str], x: str, p_value: bool = True, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Shapiro-Wilk W of groups of any size from 3 rows, and p, whose approximation is defined up to 5000 rows.
+
+    Groups of fewer rows or without spread get NULL. Places come from value ranges, so no group is sorted in one task; the
+    order statistic of a place is the value whose copies span it.
+    """
     low, high = SHAPIRO_ROWS
-    present = df.filter(F.col(x).isNotNull())
-    sizes = present.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.var_samp(x).alias("_v"))
-    # Only groups of a defined size are sorted, so no sort is larger than 5000 rows.
-    usable = attach(present, sizes.withColumn("_n", F.col("n")), by, "inner").filter(
-        F.col("_n").between(low, high) & (F.col("_v") > 0))
-    ordered = usable.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(x)))
-    scored = ordered.withColumn("_p", (F.col("_i") - 0.375) / (F.col("_n") + 0.25)).withColumn("_m", normal_quantile("_p"))
-
-    def at(i: Column, c: str) -> Column:
-        return F.max(F.when(F.col("_i") == i, F.col(c)))
-
-    n = F.col("_n")
+    cells = rank_cells(df, by, x, hot_rows=hot_rows)
+    scored = _copies(cells).withColumn("_p", (F.col("_i") - 0.375) / (F.col("size") + 0.25)).withColumn("_m", normal_quantile("_p"))
+
+    def at(i: Column) -> Column:
+        return F.max(F.when(F.col("_i") == i, F.col(x)))
+
+    size = F.col("size")
     sums = scored.groupBy(*by).agg(
-        F.max("_n").alias("_n"), F.max("_v").alias("_v"), F.sum(F.col("_m") * F.col(x)).alias("_mx"),
-        F.sum(F.col("_m") * F.col("_m")).alias("_mm"), at(n, "_m").alias("_mn"), at(n - 1, "_m").alias("_mo"),
-        (at(n, x) - at(F.lit(1), x)).alias("_outer"), (at(n - 1, x) - at(F.lit(2), x)).alias("_second"))
+        F.count(F.lit(1)).alias("_n"), F.var_samp(x).alias("_v"), F.sum(F.col("_m") * F.col(x)).alias("_mx"), F.sum(F.col("_m") * F.col("_m")).alias("_mm"),
+        (at(size) - at(F.lit(1))).alias("_outer"), (at(size - 1) - at(F.lit(2))).alias("_second"))
+    sums = sums.withColumns({"_pn": (F.col("_n") - 0.375) / (F.col("_n") + 0.25), "_po": F.greatest(F.col("_n") - 1.375, F.lit(0.1)) / (F.col("_n") + 0.25)})
+    sums = sums.withColumns({"_mn": normal_quantile("_pn"), "_mo": normal_quantile("_po")})
     u = 1 / F.sqrt("_n")
     root = F.sqrt("_mm")
-    wide = sums.withColumns({"_an": F.col("_mn") / root + _poly(_LAST, u),
-                             "_ao": F.col("_mo") / root + _poly(_LAST_BUT_ONE, u)})
+    wide = sums.withColumns({"_an": ratio("_mn", root) + _poly(_LAST, u),
+                             "_ao": ratio("_mo", root) + _poly(_LAST_BUT_ONE, u)})
     two = (F.col("_n") > 5)
     phi = F.when(two, (F.col("_mm") - 2 * F.col("_mn") ** 2 - 2 * F.col("_mo") ** 2)
                  / (1 - 2 * F.col("_an") ** 2 - 2 * F.col("_ao") ** 2)).otherwise(
@@ -63,14 +73,14 @@ def shapiro(df: DataFrame, by: Sequence[str], x: str, p_value: bool = True) -> D
     ends = F.col("_mn") * F.col("_outer")
     inner = F.when(two, F.col("_mx") - ends - F.col("_mo") * F.col("_second")).otherwise(F.col("_mx") - ends)
     line = F.when(F.col("_n") == 3, F.lit(math.sqrt(0.5)) * F.col("_outer")).otherwise(
-        inner / F.sqrt(phi) + F.col("_an") * F.col("_outer")
+        ratio(inner, F.sqrt(phi)) + F.col("_an") * F.col("_outer")
         + F.when(two, F.col("_ao") * F.col("_second")).otherwise(F.lit(0.0)))
-    tested = wide.select(*by, F.least(line ** 2 / ((F.col("_n") - 1) * F.col("_v")), F.lit(1.0)).alias("w"))
-    out = attach(sizes.drop("_v"), tested, by)
-    return _shapiro_p(out) if p_value else out
+    w = F.least(line ** 2 / ((F.col("_n") - 1) * F.col("_v")), F.lit(1.0))
+    out = wide.select(*by, F.col("_n").alias("n"), F.when((F.col("_n") >= low) & (F.col("_v") > 0), w).alias("w"))
+    return _shapiro_p(out, high) if p_value else out
 
 
-def _shapiro_p(df: DataFrame) -> DataFrame:
+def _shapiro_p(df: DataFrame, most_rows: int) -> DataFrame:
     n, w = F.col("n").cast("double"), F.col("w")
     small = (-F.log(_poly(_SMALL_SHIFT, n) - F.log(1 - w)) - _poly(_SMALL_MEAN, n)) / F.exp(_poly(_SMALL_LOG_SD, n))
     logn = F.log(n)
@@ -78,19 +88,15 @@ def _shapiro_p(df: DataFrame) -> DataFrame:
     three = F.greatest(F.lit(6 / math.pi) * (F.asin(F.sqrt(w)) - F.lit(math.asin(math.sqrt(0.75)))), F.lit(0.0))
     z = F.when(w < 1, F.when(n <= 11, small).otherwise(large))
     return (df.withColumn("_z", z).withColumn("_p", p_upper_normal("_z"))
-            .withColumn("p", F.when(n == 3, three).when(w == 1, F.lit(1.0)).otherwise(F.col("_p"))).drop("_z", "_p"))
+            .withColumn("p", F.when(n == 3, three).when(n > most_rows, F.lit(None)).when(w == 1, F.lit(1.0)).otherwise(F.col("_p"))).drop("_z", "_p"))
 
 
 def qq_points(df: DataFrame, by: Sequence[str], x: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Each observation with the normal quantile of its place in the group."""
     cells = rank_cells(df, by, x, hot_rows=hot_rows)
-    chunk = 10_000  # copies of one value are written out in chunks, never as one long array
-    starts = cells.withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("ties") - 1, F.lit(chunk))))
-    places = starts.withColumn("_k", F.explode(F.sequence(
-        F.col("_s"), F.least(F.col("_s") + chunk, F.col("ties")) - 1)))
     a = F.when(F.col("size") <= 10, 0.375).otherwise(0.5)
-    p = (F.col("before") + F.col("_k") + 1 - a) / (F.col("size") + 1 - 2 * a)
-    return (places.withColumn("_p", p)
+    p = (F.col("_i") - a) / (F.col("size") + 1 - 2 * a)
+    return (_copies(cells).withColumn("_p", p)
             .select(*by, normal_quantile("_p").alias("theoretical"), F.col(x).alias("sample")))
 
 
@@ -123,7 +129,8 @@ def _cube(t: Column) -> Column:
 
 def wilcoxon_rank_sum(df: DataFrame, by: Sequence[str], group: str, levels: Sequence[str], x: str,
                       exact: bool | None = None, p_value: bool = True, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Rank-sum statistic W of the first level. ``exact=None`` is exact for both sizes below 50 without ties."""
+    """Rank-sum statistic W of the first level. ``exact=None`` is exact for both sizes below 50 without ties; ``method`` tells
+    how p was found."""
     first, second = levels[:2]
     cells = rank_cells(df.filter(F.col(group).isin([first, second])), by, x,
                        [F.count_if(F.col(group) == first).alias("_a")], hot_rows)
@@ -136,14 +143,14 @@ def wilcoxon_rank_sum(df: DataFrame, by: Sequence[str], group: str, levels: Sequ
         return out
 
     @F.pandas_udf(DoubleType())
-    def p_of(w: pd.Series, m: pd.Series, n: pd.Series, ties: pd.Series) -> pd.Series:
-        found = []
-        for wi, mi, ni, ti in zip(w, m, n, ties):
-            use_exact = exact if exact is not None else (mi < 50 and ni < 50 and ti == 0)
-            found.append(rank_sum_p(wi, int(mi), int(ni), ti, use_exact) if mi and ni else float("nan"))
-        return pd.Series(found, dtype="float64")
-
-    return out.withColumn("p", F.nanvl(p_of("w", "n1", "n2", "tie_term"), F.lit(None).cast("double")))
+    def p_of(w: pd.Series, m: pd.Series, n: pd.Series, ties: pd.Series, counted: pd.Series) -> pd.Series:
+        found = rank_sum_p(w, m, n, ties, counted.to_numpy(bool))
+        return pd.Series(pd.array(np.where(np.isnan(found), 0.0, found), "Float64")).mask(np.isnan(found))
+
+    both = (F.col("n1") > 0) & (F.col("n2") > 0)
+    counted = both & ((F.col("n1") < 50) & (F.col("n2") < 50) & (F.col("tie_term") == 0) if exact is None else F.lit(exact))
+    out = out.withColumn("method", F.when(both, F.when(counted, "exact").otherwise("normal")))
+    return out.withColumn("p", p_of("w", "n1", "n2", "tie_term", counted))
 
 
 def kruskal_wallis(df: DataFrame, by: Sequence[str], group: str, levels: Sequence[str], x: str,

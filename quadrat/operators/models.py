@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from quadrat.functions.grouping import attach
 from quadrat.functions.semantics import level_ordinal, ratio
-from quadrat.functions.tails import f_sf, p_studentised_range, q_studentised_range
+from quadrat.functions.tails import p_f, p_studentised_range, q_studentised_range
 
 
 def design_cells(df: DataFrame, by: Sequence[str], factors: Sequence[str], y: str) -> DataFrame:
@@ -111,9 +111,10 @@ def anova(df: DataFrame, by: Sequence[str], factors: Sequence[str], y: str,
         for term, (df_term, ss) in zip(terms, found):
             usable = df_term > 0 and df_res > 0 and rss > 0
             f = ss / df_term / (rss / df_res) if usable else None
-            yield (":".join(term), df_term, ss, f, f_sf(f, df_term, df_res) if usable else None)
+            yield (":".join(term), df_term, ss, f, df_res)
 
-    return _per_model(design_cells(df, by, factors, y), by, "term string, df long, ss double, fstat double, pval double", rows)
+    found = _per_model(design_cells(df, by, factors, y), by, "term string, df long, ss double, fstat double, _res long", rows)
+    return found.withColumn("pval", p_f("fstat", F.col("df").cast("double"), F.col("_res").cast("double"))).drop("_res")
 
 
 def residuals(df: DataFrame, by: Sequence[str], factors: Sequence[str], y: str,

@@ -31,6 +31,13 @@ def shapiro_statistic(t):
     return rounded(H.shapiro(t.events, ["user_id", "event_type"], "value", p_value=False), 6, "w")
 
 
+@query(_W.replace("user_id, event_type, value AS x", "l_returnflag, l_extendedprice AS x").replace("user_id, event_type", "l_returnflag").replace("FROM events", "FROM lineitem")
+       .replace("ORDER BY value", "ORDER BY l_extendedprice").replace("GROUP BY 1, 2", "GROUP BY 1").replace("a.user_id, a.event_type", "a.l_returnflag")
+       .replace("c.user_id = a.user_id AND c.event_type = a.event_type", "c.l_returnflag = a.l_returnflag"))
+def shapiro_whole_lineitem(t):
+    return rounded(H.shapiro(t.lineitem, ["l_returnflag"], "l_extendedprice", p_value=False), 6, "w")
+
+
 @query()
 def shapiro_with_p(t):
     return H.shapiro(t.events, ["user_id", "event_type"], "value")
