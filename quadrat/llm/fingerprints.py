@@ -29,7 +29,7 @@ SPAN, SLOTS = 12, 64
 
 def _powers(k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of base ``k`` and of its inverse, at least ``n`` of each, kept from call to call."""
-    tables = kept("fingerprint_powers", dict)
+    tables = kept("fingerprints powers", dict)
     have = tables.get(k)
     if have is None or len(have[0]) < n:
         size, p, out = max(4096, 1 << (n - 1).bit_length()), PRIMES[k], []

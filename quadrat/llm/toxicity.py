@@ -35,7 +35,7 @@ CHANCE, NEAR = 0.05, 0.01
 FACTORS, EPOCHS, PAIR_EPOCHS, STEP, DECAY = 4, 10, 100, 0.1, 1e-4
 
 #: Words that one Python worker remembers at most.
-REMEMBER = 500_000
+REMEMBER = 300_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -46,14 +46,16 @@ def _bins(word: str) -> tuple[int, ...]:
 
 def terms(text: str | None) -> np.ndarray:
     """Sorted bins of the terms of a text; none for NULL and for texts without letters."""
-    known = kept("toxicity_terms", dict)
+    known = kept("toxicity terms", dict)
     if len(known) > REMEMBER:
         known.clear()
     found: set[int] = set()
     for word in set(_WORD.findall((text or "").lower())):
         bins = known.get(word)
         if bins is None:
-            bins = known[word] = _bins(word)
+            bins = _bins(word)
+            if len(word) <= 100:  # long ones are not kept
+                known[word] = bins
         found.update(bins)
     return np.array(sorted(found), np.int64)
 

@@ -7,15 +7,17 @@ import xxhash
 
 from quadrat.llm.keep import kept
 
-#: Words that one Python worker remembers at most; then it starts anew.
-REMEMBER = 1_000_000
+#: Words that one Python worker remembers at most, and the bytes of the longest of them; then it starts anew.
+REMEMBER, LONG = 700_000, 100
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _Numbers(dict):
     def __missing__(self, word: bytes) -> int:
-        found = self[word] = xxhash.xxh64_intdigest(word)
+        found = xxhash.xxh64_intdigest(word)
+        if len(word) <= LONG:
+            self[word] = found
         return found
 
 
@@ -26,7 +28,7 @@ def split_words(text: str | None, lower: bool = False) -> list[bytes]:
 
 
 def word_numbers(words: list[bytes]) -> np.ndarray:
-    numbers = kept("word_numbers", _Numbers)
+    numbers = kept("words numbers", _Numbers)
     if len(numbers) > REMEMBER:
         numbers.clear()
     return np.fromiter(map(numbers.__getitem__, words), np.uint64, len(words))
@@ -60,7 +62,7 @@ def run_hashes(numbers: np.ndarray, width: int) -> np.ndarray:
     n = len(numbers)
     if n < width:
         return np.empty(0, np.uint64)
-    tables = kept("run_powers", dict)
+    tables = kept("words powers", dict)
     if tables.get("n", 0) <= n:
         tables.update(n=2 * n + 1024, up=powers(2 * n + 1024, _BASE), down=powers(2 * n + 1024, _INVERSE))
     sums = np.zeros(n + 1, np.uint64)
