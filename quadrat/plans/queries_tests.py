@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from quadrat.functions.tails import normal_quantile_sql
 from quadrat.operators import hypothesis as H
 from quadrat.operators import models as M
+from quadrat.plans.quadrature import f_tail, normal_tail, range_tail, t_tail
 from quadrat.plans.registry import query, rounded
 from quadrat.plans.study import TIMES, change_with_baseline
 
@@ -38,9 +39,14 @@ def shapiro_whole_lineitem(t):
     return rounded(H.shapiro(t.lineitem, ["l_returnflag"], "l_extendedprice", p_value=False), 6, "w")
 
 
-@query()
+_SHAPIRO_Z = """SELECT *, CASE WHEN n <= 11 THEN (-ln(-2.273 + 0.459 * n - ln(1 - w)) - (0.5440 - 0.39978 * n + 0.025054 * n * n - 0.0006714 * n * n * n)) / exp(1.3822 - 0.77857 * n + 0.062767 * n * n - 0.0020322 * n * n * n)
+ ELSE (ln(1 - w) - (-1.5861 - 0.31082 * ln(n) - 0.083751 * pow(ln(n), 2) + 0.0038915 * pow(ln(n), 3))) / exp(-0.4803 - 0.082676 * ln(n) + 0.0030302 * pow(ln(n), 2)) END AS z FROM w"""
+
+
+@query("WITH w AS (" + _W.replace("round(least(line * line / ((c.n - 1) * c.v), 1), 6) AS w", "least(line * line / ((c.n - 1) * c.v), 1) AS w") + "), z AS (" + _SHAPIRO_Z + f""")
+SELECT user_id, event_type, n, round(w, 6) AS w, round(CASE WHEN n = 3 THEN greatest(6 / pi() * (asin(sqrt(w)) - asin(sqrt(0.75))), 0) WHEN n <= 5000 THEN {normal_tail('z')} END, 5) AS p FROM z""")
 def shapiro_with_p(t):
-    return H.shapiro(t.events, ["user_id", "event_type"], "value")
+    return rounded(rounded(H.shapiro(t.events, ["user_id", "event_type"], "value"), 6, "w"), 5, "p")
 
 
 @query(f"""+r AS (SELECT treatment, value, row_number() OVER (PARTITION BY treatment ORDER BY value) AS i, count(*) OVER (PARTITION BY treatment) AS n FROM measures),
@@ -69,9 +75,10 @@ def welch_t_statistic(t):
     return rounded(rounded(out, 4, "mean1", "mean2", "df"), 7, "t")
 
 
-@query()
+@query(f"WITH q AS ({_T}) SELECT *, round({t_tail('t', 'df')}, 5) AS p FROM q")
 def welch_t_with_p(t):
-    return H.t_test_welch(t.lineitem, ["l_linestatus"], "l_returnflag", ["A", "R"], "l_extendedprice")
+    out = H.t_test_welch(t.lineitem, ["l_linestatus"], "l_returnflag", ["A", "R"], "l_extendedprice")
+    return rounded(rounded(rounded(out, 4, "mean1", "mean2", "df"), 7, "t"), 5, "p")
 
 
 _RANKS = """WITH r AS (SELECT l_linestatus AS g, l_returnflag AS k, rank() OVER w + (count(*) OVER (PARTITION BY l_linestatus, l_extendedprice) - 1) / 2 AS r,
@@ -80,16 +87,22 @@ FROM lineitem{where} WINDOW w AS (PARTITION BY l_linestatus ORDER BY l_extendedp
 """
 
 
-@query(_RANKS.replace("{where}", " WHERE l_returnflag IN ('A', 'R')") + """SELECT g AS l_linestatus, count(*) FILTER (k = 'A') AS n1, count(*) FILTER (k = 'R') AS n2,
-round(sum(r) FILTER (k = 'A') - count(*) FILTER (k = 'A') * (count(*) FILTER (k = 'A') + 1) / 2, 1) AS w, round(sum(t * t - 1.0::DOUBLE), 1) AS tie_term FROM r GROUP BY 1""")
+_RANK_SUM = _RANKS.replace("{where}", " WHERE l_returnflag IN ('A', 'R')") + """SELECT g AS l_linestatus, count(*) FILTER (k = 'A') AS n1, count(*) FILTER (k = 'R') AS n2,
+round(sum(r) FILTER (k = 'A') - count(*) FILTER (k = 'A') * (count(*) FILTER (k = 'A') + 1) / 2, 1) AS w, round(sum(t * t - 1.0::DOUBLE), 1) AS tie_term FROM r GROUP BY 1"""
+
+
+@query(_RANK_SUM)
 def wilcoxon_statistic(t):
     out = H.wilcoxon_rank_sum(t.lineitem, ["l_linestatus"], "l_returnflag", ["A", "R"], "l_extendedprice", p_value=False)
     return rounded(out, 1, "w", "tie_term")
 
 
-@query()
+@query(f"""WITH q AS ({_RANK_SUM}), z AS (SELECT *, (abs(w - n1 * n2 / 2.0) - CASE WHEN w = n1 * n2 / 2.0 THEN 0 ELSE 0.5 END)
+ / sqrt(n1::DOUBLE * n2 / 12 * (n1 + n2 + 1 - tie_term / ((n1 + n2)::DOUBLE * (n1 + n2 - 1)))) AS z FROM q)
+SELECT l_linestatus, n1, n2, w, tie_term, 'normal' AS method, round(2 * {normal_tail('z')}, 5) AS p FROM z""")
 def wilcoxon_with_p(t):
-    return H.wilcoxon_rank_sum(t.lineitem, ["l_linestatus"], "l_returnflag", ["A", "R"], "l_extendedprice", exact=False)
+    out = H.wilcoxon_rank_sum(t.lineitem, ["l_linestatus"], "l_returnflag", ["A", "R"], "l_extendedprice", exact=False)
+    return rounded(rounded(out, 1, "w", "tie_term"), 5, "p")
 
 
 @query("""+r AS (SELECT param, time, treatment, rank() OVER (PARTITION BY param, time ORDER BY value) + (count(*) OVER (PARTITION BY param, time, value) - 1) / 2 AS r,
@@ -123,7 +136,7 @@ def linear_model_fit(t):
     return rounded(rounded(out, 2, "deviance", "null_deviance", "diff"), 4, "sigma2")
 
 
-@query("""+g AS (SELECT param, avg(value) AS m FROM pooled_change GROUP BY 1),
+_BALANCED = """+g AS (SELECT param, avg(value) AS m FROM pooled_change GROUP BY 1),
 e AS (SELECT param, term, sum(n * (m - gm) * (m - gm)) AS ss, count(*) - 1 AS df FROM (
  SELECT p.param, 'Time' AS term, p."Time" AS l, count(*) AS n, avg(value) AS m, max(g.m) AS gm FROM pooled_change p JOIN g ON g.param = p.param GROUP BY 1, 2, 3
  UNION ALL SELECT p.param, 'treatment', p.treatment, count(*), avg(value), max(g.m) FROM pooled_change p JOIN g ON g.param = p.param GROUP BY 1, 2, 3) GROUP BY 1, 2),
@@ -131,12 +144,21 @@ c AS (SELECT p.param, p."Time", p.treatment, count(*) AS n, avg(value) AS m, var
 f AS (SELECT param, sum(ss) AS rss, sum(n) - count(*) AS dfr, sum(n * (m - gm) * (m - gm)) AS ssm FROM c GROUP BY 1),
 x AS (SELECT param, term, ss, df FROM e UNION ALL
  SELECT f.param, 'Time:treatment', ssm - sum(ss), max(CASE WHEN term = 'Time' THEN df END) * max(CASE WHEN term = 'treatment' THEN df END) FROM f JOIN e ON e.param = f.param GROUP BY f.param, ssm)
-SELECT x.param, term, CAST(df AS BIGINT) AS df, round(ss, 2) AS ss, round(ss / df / (rss / dfr), 6) AS fstat FROM x JOIN f ON f.param = x.param""", "pooled_change")
+SELECT x.param, term, CAST(df AS BIGINT) AS df, round(ss, 2) AS ss, round(ss / df / (rss / dfr), 6) AS fstat FROM x JOIN f ON f.param = x.param"""
+
+
+@query(_BALANCED, "pooled_change")
 def anova_balanced(t):
     out = M.anova(change_with_baseline(t.measures(36), UNIT), ["param"], ["Time", "treatment"], "value").drop("pval")
     return rounded(rounded(out, 2, "ss"), 6, "fstat")
 
 
+@query(_BALANCED.replace("SELECT x.param, term,", ", q AS (SELECT x.param, term, dfr,") + f") SELECT param, term, df, ss, fstat, round({f_tail('fstat', 'df', 'dfr')}, 5) AS pval FROM q", "pooled_change")
+def anova_balanced_with_p(t):
+    out = M.anova(change_with_baseline(t.measures(36), UNIT), ["param"], ["Time", "treatment"], "value")
+    return rounded(rounded(rounded(out, 2, "ss"), 6, "fstat"), 5, "pval")
+
+
 @query("""WITH l AS (SELECT l_returnflag AS a, l_linestatus AS b, l_quantity AS y, p_type AS g FROM lineitem JOIN part ON p_partkey = l_partkey),
 c AS (SELECT g, a, b, count(*) AS n, avg(y) AS m, var_pop(y) * count(*) AS ss FROM l GROUP BY 1, 2, 3),
 t AS (SELECT g, sum(n) AS n, sum(n * m) / sum(n) AS m, sum(ss) AS rss, count(*) AS k FROM c GROUP BY 1),
@@ -168,16 +190,27 @@ def model_residuals(t):
     return rounded(out, 4, "fitted", "residual").drop("value")
 
 
-@query(_CELLS + """, o AS (SELECT *, CASE "Time" WHEN 'diff_1WK' THEN 1 WHEN 'diff_24H' THEN 2 WHEN 'diff_4WK' THEN 3 ELSE 4 END AS o FROM cells)
+_CONTRASTS = _CELLS + """, o AS (SELECT *, CASE "Time" WHEN 'diff_1WK' THEN 1 WHEN 'diff_24H' THEN 2 WHEN 'diff_4WK' THEN 3 ELSE 4 END AS o FROM cells)
 SELECT a.param, a.treatment, a."Time" || ' - ' || b."Time" AS contrast, round(a.m - b.m, 4) + 0.0 AS estimate, round(sqrt(rss / dfr * (1.0 / a.n + 1.0 / b.n)), 4) AS se,
 CAST('inf' AS DOUBLE) AS df, round((a.m - b.m) / sqrt(rss / dfr * (1.0 / a.n + 1.0 / b.n)), 6) + 0.0 AS ratio
-FROM o a JOIN o b ON b.param = a.param AND b.treatment = a.treatment AND a.o < b.o JOIN f ON f.param = a.param""", "pooled_change")
+FROM o a JOIN o b ON b.param = a.param AND b.treatment = a.treatment AND a.o < b.o JOIN f ON f.param = a.param"""
+
+
+@query(_CONTRASTS, "pooled_change")
 def emmeans_contrasts(t):
     times = ["diff_1WK", "diff_24H", "diff_4WK", "PRE"]
     out = M.emmeans_pairwise(change_with_baseline(t.measures(36), UNIT), ["param"], "Time", "treatment", times, "value", p_value=False)
     return rounded(rounded(out, 4, "estimate", "se"), 6, "ratio")
 
 
+@query(_CONTRASTS.replace("SELECT a.param, a.treatment,", ", q AS (SELECT a.param, a.treatment, (a.m - b.m) / sqrt(rss / dfr * (1.0 / a.n + 1.0 / b.n)) AS whole,")
+       + f") SELECT * EXCLUDE whole, round({range_tail('abs(whole) * sqrt(2)', 4)}, 5) AS p FROM q", "pooled_change")
+def emmeans_pooled_with_p(t):
+    times = ["diff_1WK", "diff_24H", "diff_4WK", "PRE"]
+    out = M.emmeans_pairwise(change_with_baseline(t.measures(36), UNIT), ["param"], "Time", "treatment", times, "value")
+    return rounded(rounded(rounded(out, 4, "estimate", "se"), 6, "ratio"), 5, "p")
+
+
 @query()
 def emmeans_contrasts_with_p(t):
     data = change_with_baseline(t.measures(), UNIT)
@@ -204,15 +237,19 @@ regr_r2(l_extendedprice, l_quantity) AS r2, regr_sxx(l_extendedprice, l_quantity
 regr_sxy(l_extendedprice, l_quantity) AS sxy FROM lineitem GROUP BY 1) """
 
 
-@query(_REG + """SELECT l_suppkey, CAST(n AS BIGINT) AS n, round(b, 5) AS slope, round(a, 3) AS intercept, round(r2, 7) AS r2, round(b / sqrt((syy - b * sxy) / (n - 2) / sxx), 5) + 0.0 AS t FROM s""")
+_SLOPES = _REG + """SELECT l_suppkey, CAST(n AS BIGINT) AS n, round(b, 5) AS slope, round(a, 3) AS intercept, round(r2, 7) AS r2, round(b / sqrt((syy - b * sxy) / (n - 2) / sxx), 5) + 0.0 AS t FROM s"""
+
+
+@query(_SLOPES)
 def simple_regression(t):
     out = H.simple_regression(t.lineitem, ["l_suppkey"], "l_quantity", "l_extendedprice", p_value=False)
     return rounded(rounded(rounded(out, 5, "slope", "t"), 3, "intercept"), 7, "r2")
 
 
-@query()
+@query("WITH q AS (" + _SLOPES.replace(" AS t FROM s", " AS t, b / sqrt((syy - b * sxy) / (n - 2) / sxx) AS whole FROM s") + f") SELECT * EXCLUDE whole, round({t_tail('whole', '(n - 2)')}, 5) AS p FROM q")
 def simple_regression_with_p(t):
-    return H.simple_regression(t.lineitem, ["l_suppkey"], "l_quantity", "l_extendedprice")
+    out = H.simple_regression(t.lineitem, ["l_suppkey"], "l_quantity", "l_extendedprice")
+    return rounded(rounded(rounded(rounded(out, 5, "slope", "t"), 3, "intercept"), 7, "r2"), 5, "p")
 
 
 @query()
