@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadrat.functions.grouping import attach, exact_quantiles
+from quadrat.functions.grouping import attach, exact_quantiles, rank_cells
 from quadrat.functions.semantics import reference_first
 from quadrat.functions.tails import p_two_sided_normal
 from quadrat.operators.hypothesis import p_adjust
@@ -259,20 +259,78 @@ def select_contrast(results: DataFrame, name: str) -> DataFrame:
     return results.filter(F.col("contrast") == name)
 
 
-def independent_filter(results: DataFrame, alpha: float = 0.05, steps: int = 20, p: str = "p") -> DataFrame:
+def smoothed(x: np.ndarray, y: np.ndarray, share: float = 0.2, rounds: int = 3) -> np.ndarray:
+    """Locally weighted lines through ``share`` of the points around each x (increasing), with ``rounds`` robust reweightings."""
+    n = len(x)
+    near = min(max(int(share * n + 1e-7), 2), n)
+    distance = np.abs(x[:, None] - x[None, :])
+    reach = np.sort(distance, axis=1)[:, near - 1]
+    close = np.clip(distance / np.maximum(reach, 1e-300)[:, None], 0, 1)
+    weights, robust = (1 - close ** 3) ** 3, np.ones(n)
+    fit = np.zeros(n)
+    for turn in range(rounds + 1):
+        for i in range(n):
+            w = weights[i] * robust
+            w = w / max(w.sum(), 1e-300)
+            middle = w @ x
+            spread = w @ (x - middle) ** 2
+            slope = (w @ ((x - middle) * y)) / spread if spread > 1e-12 * (x[-1] - x[0]) ** 2 else 0.0
+            fit[i] = w @ y + slope * (x[i] - middle)
+        off = np.abs(y - fit)
+        scale = 6 * np.median(off)
+        if turn == rounds or scale < 1e-7 * np.abs(off).mean() or scale == 0:
+            break
+        robust = np.clip(1 - (off / scale) ** 2, 0, None) ** 2
+    return fit
+
+
+def chosen_cut(theta: np.ndarray, rejections: np.ndarray) -> int:
+    """The first cut whose rejections come within one residual's root mean square of the smoothed curve's top; none (0) where no
+    cut has more than ten rejections."""
+    if rejections.max(initial=0) <= 10:
+        return 0
+    curve = smoothed(theta, rejections.astype(float))
+    some = rejections > 0
+    least = curve.max() - math.sqrt(np.mean((rejections[some] - curve[some]) ** 2))
+    above = np.flatnonzero(rejections > least)
+    return int(above[0]) if len(above) else 0
+
+
+def independent_filter(results: DataFrame, alpha: float = 0.05, steps: int = 50, p: str = "p") -> DataFrame:
     """Adjusted p values with a filter on the mean: ``padj`` is NULL below the chosen mean.
 
-    Per contrast, of ``steps`` + 1 cut points at quantiles of the mean from 0 to 0.95, the lowest one with the most
-    rejections is taken. ``results`` should be a written or checkpointed table.
+    Per contrast ``steps`` cuts are tried, quantiles of the mean from the share of zero means to 0.95 (to 1 if that share is as
+    large), and ``chosen_cut`` picks one from the smoothed curve of their rejections. ``results`` should be a written or checkpointed table.
     """
-    probs = {f"q{i}": 0.95 * i / steps for i in range(steps + 1)}
-    cuts = exact_quantiles(results, ["contrast"], "base_mean", probs).select(
-        "contrast", F.explode(F.array(*[F.struct(F.lit(i).alias("step"), F.col(f"q{i}").alias("cut")) for i in range(steps + 1)])).alias("c"))
-    trial = results.select("contrast", "base_mean", p).join(cuts.select("contrast", "c.*"), "contrast").filter(F.col("base_mean") >= F.col("cut"))
+    # The share of zero means differs by contrast, so quantiles are read off the ranks instead of fixed probabilities.
+    cells = rank_cells(results, ["contrast"], "base_mean")
+    low = results.groupBy("contrast").agg((F.count_if(F.col("base_mean") == 0) / F.count("base_mean")).alias("_low"))
+    step = F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("step")
+    top = F.when(F.col("_low") < 0.95, 0.95).otherwise(1.0)
+    tries = low.select("contrast", "_low", step).withColumn("theta", F.col("_low") + (top - F.col("_low")) * F.col("step") / (steps - 1)).drop("_low")
+    placed = attach(cells.select("contrast", "base_mean", "before", "ties", "size"), tries.groupBy("contrast").agg(
+        F.collect_list(F.struct("step", "theta")).alias("_t")), ["contrast"])
+    # The cut lies between two order statistics: each cell gives its share of the cuts that fall on or beside it.
+    at = placed.select("contrast", "base_mean", "before", "ties", "size", F.explode("_t").alias("t")).withColumn("_h", (F.col("size") - 1) * F.col("t.theta"))
+
+    def on(place):
+        return F.max(F.when((F.col("before") <= place) & (place < F.col("before") + F.col("ties")), F.col("base_mean")))
+
+    cuts = at.groupBy("contrast", F.col("t.step").alias("step"), F.col("t.theta").alias("theta")).agg(
+        on(F.floor("_h")).alias("_a"), on(F.ceil("_h")).alias("_b"), F.max(F.col("_h") - F.floor("_h")).alias("_w"))
+    cuts = cuts.select("contrast", "step", "theta", (F.col("_a") + F.col("_w") * (F.col("_b") - F.col("_a"))).alias("cut"))
+    trial = results.select("contrast", "base_mean", p).join(cuts, "contrast").filter(F.col("base_mean") >= F.col("cut"))
     tried = p_adjust(trial, ["contrast", "step"], p, "BH", "padj")
-    wins = tried.groupBy("contrast", "step").agg(F.count_if(F.col("padj") < alpha).alias("n"), F.max("cut").alias("cut"))
-    best = wins.groupBy("contrast").agg(F.max_by("cut", F.struct("n", (-F.col("step")).alias("s"))).alias("cut"))
-    kept = results.join(best, "contrast")
+    wins = tried.groupBy("contrast", "step").agg(F.count_if(F.col("padj") < alpha).alias("n"))
+    curve = cuts.join(wins, ["contrast", "step"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("step")
+        k = chosen_cut(pdf["theta"].to_numpy(float), pdf["n"].to_numpy())
+        return pd.DataFrame({"contrast": [pdf["contrast"].iloc[0]], "cut": [float(pdf["cut"].iloc[k])]})
+
+    best = curve.groupBy("contrast").applyInPandas(pick, T.StructType([results.schema["contrast"], T.StructField("cut", T.DoubleType())]))
+    kept = cut_lineage(results.join(best, "contrast"))
     passed = p_adjust(kept.filter(F.col("base_mean") >= F.col("cut")), ["contrast"], p, "BH", "padj")
     low = kept.filter(F.col("base_mean") < F.col("cut")).withColumn("padj", F.lit(None).cast("double"))
     return passed.unionByName(low).drop("cut")

@@ -65,6 +65,21 @@ def histogram(df: DataFrame, by: Sequence[str], value: str, width: float) -> Dat
             .groupBy(*by, (number * F.lit(float(width)) + F.lit(0.0)).alias("bin")).agg(F.count(F.lit(1)).alias("n")))
 
 
+def histogram_bins(df: DataFrame, by: Sequence[str], value: str, bins: int = 30) -> DataFrame:
+    """Counts in ``bins`` bins per group, closed on the right; the first is centred on the smallest value and the last on the largest.
+
+    Empty bins have no row. A group whose values are all equal has one bin that begins and ends at this value.
+    """
+    if bins < 2:
+        raise ValueError("a number of bins is 2 at least")
+    present = with_group_stats(df.filter(F.col(value).isNotNull()), by, [F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi")])
+    width = (F.col("_hi") - F.col("_lo")) / (bins - 1)
+    number = F.least(F.greatest(F.ceil(ratio(F.col(value) - F.col("_lo"), "_w") + 0.5) - 1, F.lit(0)), F.lit(bins - 1))
+    placed = present.withColumn("_w", width).withColumn("_i", F.coalesce(number, F.lit(0)).cast("int"))
+    low = F.col("_lo") + (F.col("_i") - 0.5) * F.col("_w")
+    return placed.groupBy(*by, low.alias("bin_low"), (low + F.col("_w")).alias("bin_high")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def histogram_sturges(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Counts in round-width bins, about ``log2(n) + 1`` of them, closed on the right as is usual for this rule.
 

@@ -267,6 +267,13 @@ def histogram_fixed_width(t):
     return S.histogram(t.lineitem, ["l_returnflag"], "l_quantity", 5)
 
 
+@query("""WITH s AS (SELECT l_returnflag, min(l_extendedprice) AS lo, (max(l_extendedprice) - min(l_extendedprice)) / 29 AS w FROM lineitem GROUP BY 1),
+i AS (SELECT l_returnflag, lo, w, ceil((l_extendedprice - lo) / w + 0.5) - 1 AS i FROM lineitem JOIN s USING (l_returnflag))
+SELECT l_returnflag, round(lo + (i - 0.5) * w, 6) AS bin_low, round(lo + (i + 0.5) * w, 6) AS bin_high, count(*) AS n FROM i GROUP BY ALL""")
+def histogram_thirty_bins(t):
+    return rounded(S.histogram_bins(t.lineitem, ["l_returnflag"], "l_extendedprice"), 6, "bin_low", "bin_high")
+
+
 @query("""WITH s AS (SELECT p_type, count(*) AS n, min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part GROUP BY 1),
 r AS (SELECT *, (hi - lo) / ceil(log2(n) + 1) AS raw FROM s), b AS (SELECT *, pow(10.0, floor(log10(raw))) AS base FROM r WHERE raw > 0),
 w AS (SELECT *, base * CASE WHEN raw / base < 1.4 THEN 1.0 WHEN raw / base < 2.8 THEN 2.0 WHEN raw / base < 7.0 THEN 5.0 ELSE 10.0 END AS width FROM b),
