@@ -7,8 +7,9 @@ product of the factor levels per parameter, however many rows there were.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import pandas as pd
@@ -18,7 +19,7 @@ from pyspark.sql import types as T
 
 from quadrat.functions.grouping import attach
 from quadrat.functions.semantics import level_ordinal, ratio
-from quadrat.functions.tails import p_f, p_studentised_range, q_studentised_range
+from quadrat.functions.tails import p_f, p_studentised_range, p_two_sided_t, q_studentised_range
 
 
 def design_cells(df: DataFrame, by: Sequence[str], factors: Sequence[str], y: str) -> DataFrame:
@@ -117,6 +118,53 @@ def anova(df: DataFrame, by: Sequence[str], factors: Sequence[str], y: str,
     return found.withColumn("pval", p_f("fstat", F.col("df").cast("double"), F.col("_res").cast("double"))).drop("_res")
 
 
+def coefficients(df: DataFrame, by: Sequence[str], factors: Sequence[str], y: str, levels: dict[str, Sequence[str]],
+                 terms: Sequence[Sequence[str]] | None = None) -> DataFrame:
+    """Coefficient table of a linear model in treatment contrasts: term, estimate, se, t, p.
+
+    The first of a factor's ``levels`` is its reference; rows of other levels are left out. Normal equations are built from the design
+    cells, whatever the number of rows. A coefficient that the coefficients before it already explain has NULL values, as have
+    se, t and p without residual degrees of freedom.
+    """
+    terms = terms or full_factorial(factors)
+    named = [("(Intercept)", {})]
+    for term in terms:
+        for chosen in product(*[levels[f][1:] for f in term]):
+            named.append((":".join(f"{f}[{v}]" for f, v in zip(term, chosen)), dict(zip(term, chosen))))
+
+    def rows(pdf):
+        n, mean = pdf["_n"].to_numpy(float), pdf["_mean"].to_numpy(float)
+        root = np.sqrt(n)
+        columns = [root * np.prod([np.ones(len(pdf)), *((pdf[f] == v).to_numpy(float) for f, v in want.items())], axis=0) for _, want in named]
+        kept, basis = [], []
+        for k, column in enumerate(columns):
+            v = column.copy()
+            for _ in range(2):
+                for b in basis:
+                    v = v - b * (b @ v)
+            if np.linalg.norm(v) > 1e-9 * max(np.linalg.norm(column), 1e-300):
+                kept.append(k)
+                basis.append(v / np.linalg.norm(v))
+        upper = np.array(basis) @ np.array([columns[k] for k in kept]).T  # triangular: kept columns in terms of the basis
+        inverse = np.linalg.inv(upper)
+        target = root * mean
+        estimates = inverse @ (np.array(basis) @ target)
+        off = target - np.array(basis).T @ (np.array(basis) @ target)
+        df_res = int(n.sum()) - len(kept)
+        sigma2 = (float(pdf["_ss"].sum()) + float(off @ off)) / df_res if df_res > 0 else None
+        spread = (inverse ** 2).sum(1)
+        known = {k: (float(e), math.sqrt(sigma2 * v) if sigma2 is not None else None) for k, e, v in zip(kept, estimates, spread)}
+        for k, (name, _) in enumerate(named):
+            estimate, se = known.get(k, (None, None))
+            yield (k, name, estimate, se, estimate / se if se else None, df_res)
+
+    listed = df
+    for f in factors:
+        listed = listed.where(F.col(f).isin(list(levels[f])))
+    found = _per_model(design_cells(listed, by, factors, y), by, "place int, term string, estimate double, se double, t double, _res long", rows)
+    return found.withColumn("p", p_two_sided_t("t", F.col("_res").cast("double"))).drop("_res")
+
+
 def residuals(df: DataFrame, by: Sequence[str], factors: Sequence[str], y: str,
               terms: Sequence[Sequence[str]] | None = None) -> DataFrame:
     """The rows with their fitted value and residual."""

@@ -196,6 +196,22 @@ CAST('inf' AS DOUBLE) AS df, round((a.m - b.m) / sqrt(rss / dfr * (1.0 / a.n + 1
 FROM o a JOIN o b ON b.param = a.param AND b.treatment = a.treatment AND a.o < b.o JOIN f ON f.param = a.param"""
 
 
+_PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+@query(f"""WITH c AS (SELECT o_orderstatus AS a, o_orderpriority AS b, count(*) AS n, avg(o_totalprice) AS m, var_pop(o_totalprice) * count(*) AS ss FROM orders GROUP BY 1, 2),
+e AS (SELECT sum(ss) / (sum(n) - count(*)) AS s2, sum(n) - count(*) AS dfr FROM c), r AS (SELECT n AS n0, m AS m0 FROM c WHERE a = 'F' AND b = '1-URGENT'),
+k AS (SELECT '(Intercept)' AS term, m0 AS estimate, 1.0 / n0 AS v FROM r
+ UNION ALL SELECT 'o_orderstatus[' || a || ']', m - m0, 1.0 / n + 1.0 / n0 FROM c, r WHERE a <> 'F' AND b = '1-URGENT'
+ UNION ALL SELECT 'o_orderpriority[' || b || ']', m - m0, 1.0 / n + 1.0 / n0 FROM c, r WHERE a = 'F' AND b <> '1-URGENT'
+ UNION ALL SELECT 'o_orderstatus[' || c.a || ']:o_orderpriority[' || c.b || ']', c.m - x.m - y.m + m0, 1.0 / c.n + 1.0 / x.n + 1.0 / y.n + 1.0 / n0
+  FROM c JOIN c x ON x.a = c.a AND x.b = '1-URGENT' JOIN c y ON y.a = 'F' AND y.b = c.b, r WHERE c.a <> 'F' AND c.b <> '1-URGENT')
+SELECT term, round(estimate, 3) AS estimate, round(sqrt(v * s2), 3) AS se, round(estimate / sqrt(v * s2), 6) AS t, round({t_tail('estimate / sqrt(v * s2)', 'dfr')}, 5) AS p FROM k, e""")
+def coefficient_table(t):
+    out = M.coefficients(t.orders, [], ["o_orderstatus", "o_orderpriority"], "o_totalprice", {"o_orderstatus": ["F", "O", "P"], "o_orderpriority": _PRIORITIES})
+    return rounded(rounded(rounded(out, 3, "estimate", "se"), 6, "t"), 5, "p").drop("place")
+
+
 @query(_CONTRASTS, "pooled_change")
 def emmeans_contrasts(t):
     times = ["diff_1WK", "diff_24H", "diff_4WK", "PRE"]

@@ -67,3 +67,21 @@ def test_histogram_by_number_of_bins(spark):
     assert found == {k: c for k, c in enumerate(counts) if c}
     with pytest.raises(ValueError):
         S.histogram_bins(spark.createDataFrame(rows, "g string, x double"), ["g"], "x", 1)
+
+
+def test_coefficients_equal_least_squares(spark):
+    from quadrat.operators import models as M
+
+    rng = np.random.default_rng(13)
+    a, b = rng.choice(list("xyz"), 90, p=[0.5, 0.3, 0.2]), rng.choice(list("uv"), 90)
+    y = rng.normal(size=90) + (a == "y") * 2 - (b == "v") * (a == "z")
+    df = spark.createDataFrame([(p, q, float(v)) for p, q, v in zip(a, b, y)] + [("other", "u", 99.0)], "a string, b string, y double")
+    levels = {"a": ["x", "y", "z"], "b": ["u", "v"]}
+    x = np.array([np.ones(90), a == "y", a == "z", b == "v"], float).T
+    beta, rss, *_ = np.linalg.lstsq(x, y, rcond=None)
+    se = np.sqrt(np.diag(np.linalg.inv(x.T @ x)) * rss[0] / 86)
+    got = sorted(M.coefficients(df, [], ["a", "b"], "y", levels, [["a"], ["b"]]).collect(), key=lambda r: r.place)
+    assert [r.term for r in got] == ["(Intercept)", "a[y]", "a[z]", "b[v]"]
+    assert np.allclose([r.estimate for r in got], beta) and np.allclose([r.se for r in got], se) and all(0 <= r.p <= 1 for r in got)
+    full = M.coefficients(df.where("NOT (a = 'z' AND b = 'v')"), [], ["a", "b"], "y", levels).collect()
+    assert [r.term for r in full if r.estimate is None] == ["a[z]:b[v]"]  # an empty cell
