@@ -35,7 +35,7 @@ CHANCE, NEAR = 0.05, 0.01
 FACTORS, EPOCHS, PAIR_EPOCHS, STEP, DECAY = 4, 10, 100, 0.1, 1e-4
 
 #: Words that one Python worker remembers at most.
-REMEMBER = 300_000
+REMEMBER = 200_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
