@@ -8,12 +8,29 @@ from quadrat.operators import summary as S
 from quadrat.operators import wrangle as W
 from quadrat.plans.registry import query, rounded
 from quadrat.plans.study import TIMES, change_summary, change_with_baseline
-from quadrat.sources.tables import clean_keys
+from quadrat.session import shared_folder
+from quadrat.sources.tables import clean_keys, scan_parquet, scan_tsv, write_parquet, write_tsv
 
 UNIT = ["unit", "param", "treatment"]
 PARAMS = ["click", "error", "purchase", "signup", "view"]
 
 
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderpriority END AS priority, o_totalprice FROM orders")
+def text_written_and_read(t):
+    df = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")).alias("priority"), "o_totalprice")
+    path = shared_folder(t.spark, "text")
+    write_tsv(df, path)
+    return scan_tsv(t.spark, path, df.schema)
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, min(l_extendedprice) AS low, max(l_extendedprice) AS high FROM lineitem GROUP BY 1, 2")
+def parquet_written_and_read(t):
+    path = shared_folder(t.spark, "tables")
+    write_parquet(t.lineitem.select("l_returnflag", "l_linestatus", "l_extendedprice"), f"{path}/lines.parquet")
+    return scan_parquet(t.spark, path, "lines").groupBy("l_returnflag", "l_linestatus").agg(
+        F.count(F.lit(1)).alias("n"), F.min("l_extendedprice").alias("low"), F.max("l_extendedprice").alias("high"))
+
+
 @query("SELECT l_suppkey, count(*) AS n_lines, sum(l_quantity) AS sum_qty FROM lineitem WHERE l_discount > 0.05 GROUP BY l_suppkey")
 def scan_filtered_lines(t):
     return t.lineitem.filter("l_discount > 0.05").groupBy("l_suppkey").agg(
