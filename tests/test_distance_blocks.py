@@ -11,7 +11,7 @@ rng = np.random.default_rng(5)
 
 
 def cells_of(spark, m, kind="double"):
-    rows = [(i, f"t{j}" if j else None, m[i, j].item()) for i, j in zip(*np.nonzero(m))]
+    rows = [(int(i), f"t{j}" if j else None, m[i, j].item()) for i, j in zip(*np.nonzero(m))]
     return spark.createDataFrame(rows, f"sample_id long, taxon_id string, count {kind}")
 
 
@@ -40,3 +40,36 @@ def test_a_block_is_not_sent_once_for_every_other_block(spark):
     for pairs in (K.bray_curtis(df, block_samples=10), K.euclidean(df, block_samples=10)):
         plan = plan_of(pairs)
         assert "CartesianProduct" in plan and "Generate" not in plan and pairs.count() == 400 * 399 // 2
+
+
+@pytest.mark.parametrize("distance", [K.bray_curtis, K.euclidean])
+def test_permutation_tests_write_no_pairs(spark, monkeypatch, distance):
+    monkeypatch.setattr(P, "BLOCK", 6)
+    m = rng.poisson(3, (25, 8)).astype(float)
+    m[:, 1] += 1
+    design = spark.createDataFrame([(i, "abc"[i % 3], "xy"[i // 3 % 2]) for i in range(25)], "sample_id long, g string, h string")
+    pairs = distance(cells_of(spark, m))
+    tests = (lambda d: P.permanova(d, design, ["g", "h"], 19), lambda d: P.pairwise_terms(d, design, "g", ["a", "b", "c"], ["h"], 19))
+    written = cut_lineage(pairs)
+    names = {"term", "pair", "df", "ss", "r2", "pseudo_f", "p"}
+    wanted = [{(r.asDict().get("pair"), r.term): r for r in test(written).collect()} for test in tests]
+
+    def refuse(*_):
+        raise AssertionError("pairs are written")
+
+    monkeypatch.setattr(type(pairs), "checkpoint", lambda df, eager=True: refuse() if "_part" in plan_of(df) else df)
+    for test, want in zip(tests, wanted):
+        got = test(pairs)
+        for r in got.collect():
+            other = want.pop((r.asDict().get("pair"), r.term))
+            assert all(r[c] == (pytest.approx(other[c]) if isinstance(other[c], float) else other[c]) for c in names & set(got.columns))
+        assert not want
+    more = design.union(spark.createDataFrame([(77, "a", "x")], design.schema))
+    with pytest.raises(Exception, match="need one known distance"):
+        P.permanova(pairs, more, ["g"], 9).collect()
+
+
+def test_pair_sets_are_not_broadcast(spark):
+    df = cells_of(spark, rng.poisson(3, (12, 8)) + 1.0)
+    joined = K.dist_pairs_join(K.bray_curtis(df), K.euclidean(df))
+    assert "BroadcastHashJoin" not in plan_of(joined) and joined.count() == 66
