@@ -81,6 +81,36 @@ def test_neighbours_are_exact_within_the_pool(spark):
     assert few.transform(lambda t: neighbours.search(t, t, k=5)).count() == 6
 
 
+def test_probing_ends_between_two_distances():
+    codes = np.random.default_rng(4).integers(0, 256, (3000, 16)).astype(np.uint8)
+    block, looked = neighbours.IndexBlock(codes), []
+
+    class Counted(list):
+        def __getitem__(self, value):
+            looked.append(len(super().__getitem__(value)))
+            return super().__getitem__(value)
+
+    block.buckets = [Counted(b) for b in block.buckets]
+    for code in codes[:20]:
+        far = np.bitwise_count(codes ^ code).sum(1)
+        radius = np.sort(far)[99]
+        looked.clear()
+        assert np.array_equal(np.sort(block.within(code, 100)), np.flatnonzero(far <= radius))
+        t = radius // 16  # probing all substrings at this distance completes a radius that is larger than needed
+        if radius % 16 < neighbours.TOGETHER:
+            assert sum(looked) < sum((np.bitwise_count(codes[:, k] ^ code[k]) <= t).sum() for k in range(16))
+    assert any(np.sort(np.bitwise_count(codes ^ c).sum(1))[99] % 16 < neighbours.TOGETHER for c in codes[:20])
+
+
+def test_rough_products_lose_no_neighbour():
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.normal(size=(40, 12)), 5, 0) * (1 + rng.integers(-2, 3, (200, 1)) * 2.0 ** -52)
+    for row in rng.normal(size=(30, 12)):
+        near, score = neighbours._best(x, np.arange(200), row, 20, float(np.sqrt(row @ row) * np.sqrt((x * x).sum(1).max()) * 1e-14 * 20))
+        exact = neighbours.exact_products(x, row)
+        assert set(np.flatnonzero(exact >= np.sort(exact)[-20])) <= set(near) and (score == exact[near]).all() and len(near) < 200
+
+
 def test_recall_and_radius(spark):
     rng = np.random.default_rng(9)
     x = rng.normal(size=(4000, 32))
