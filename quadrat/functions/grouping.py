@@ -41,6 +41,12 @@ def with_group_stats(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column])
     return attach(df, df.groupBy(*keys).agg(*aggs), keys)
 
 
+def dealt(df: DataFrame, parts: int | None, *keys: str) -> DataFrame:
+    """``df`` in ``parts`` partitions by its keys, so that tasks which combine or sort it stay as small however much there is; as it is if
+    None. Spark's own number of partitions is fixed, and adaptive execution merges small ones up to the number of cores."""
+    return df.repartition(parts, *keys) if parts else df
+
+
 def _range_bounds(df: DataFrame, by: Sequence[str], value: str, hot_rows: int) -> DataFrame | None:
     """Value bounds of the groups too large for one sort, at most ``MAX_HOT`` rows; None if there are none.
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadrat.functions.grouping import number_keys
+from quadrat.functions.grouping import dealt, number_keys
 from quadrat.operators.summary import share_of_max, share_of_total
 from quadrat.operators.wrangle import top_k
 from quadrat.session import stored
@@ -29,18 +29,20 @@ PAIRS_AT_ONCE = 200_000      # pairs of a tile that leave it at once
 
 
 def tax_glom(counts: DataFrame, taxonomy: DataFrame, rank: str, ranks: Sequence[str] = RANKS, na_rm: bool = True,
-             sample: str = "sample_id", taxon: str = "taxon_id", count: str = "count") -> DataFrame:
+             sample: str = "sample_id", taxon: str = "taxon_id", count: str = "count", parts: int | None = None) -> DataFrame:
     """Sum the counts of taxa that share the path down to ``rank``.
 
     Counts are summed per taxon and sample first, so a taxonomy too large to broadcast meets combined rows only.
-    Unassigned taxa are dropped if ``na_rm``; ranks below are left out, as they are no longer defined.
+    Unassigned taxa are dropped if ``na_rm``; ranks below are left out, as they are no longer defined. ``parts``: partitions of the
+    counts when they meet the taxonomy and when they are summed, for more of them than Spark's number suits.
     """
     path = list(ranks[: list(ranks).index(rank) + 1])
     known = taxonomy.select(taxon, *path)
     if na_rm:
         known = known.filter(F.col(rank).isNotNull() & (F.col(rank) != ""))
     once = counts.groupBy(sample, taxon).agg(F.sum(count).alias(count))
-    return once.join(known, taxon).groupBy(sample, *path).agg(F.sum(count).alias(count))
+    summed = dealt(dealt(once, parts, taxon).join(known, taxon), parts, sample, *path)
+    return summed.groupBy(sample, *path).agg(F.sum(count).alias(count))
 
 
 def subset_samples(counts: DataFrame, samples: DataFrame, condition, sample: str = "sample_id") -> tuple[DataFrame, DataFrame]:

@@ -18,7 +18,7 @@ PERMS = 999
 @query("SELECT sample_id, 'goods' AS kingdom, p_type AS phylum, CAST(sum(count) AS BIGINT) AS count FROM part_counts JOIN part ON p_partkey = taxon_id GROUP BY 1, 2, 3",
        "part_counts")
 def tax_glom_phylum(t):
-    return K.tax_glom(t.counts(), t.taxonomy(), "phylum", RANKS)
+    return K.tax_glom(t.counts(), t.taxonomy(), "phylum", RANKS, parts=t.parts)
 
 
 @query("""SELECT sample_id, 'goods' AS kingdom, p_type AS phylum, p_brand AS genus, CAST(sum(count) AS BIGINT) AS count FROM part_counts JOIN part ON p_partkey = taxon_id
@@ -26,7 +26,7 @@ WHERE p_brand <> 'Brand#7' GROUP BY ALL""", "part_counts")
 def tax_glom_genus_without_unassigned(t):
     taxonomy = t.part.select(F.col("p_partkey").alias("taxon_id"), F.lit("goods").alias("kingdom"), F.col("p_type").alias("phylum"),
                              F.when(F.col("p_brand") != "Brand#7", F.col("p_brand")).alias("genus"))
-    return K.tax_glom(t.part_counts(), taxonomy, "genus", RANKS)
+    return K.tax_glom(t.part_counts(), taxonomy, "genus", RANKS, parts=t.parts)
 
 
 @query("SELECT sample_id, taxon_id, count FROM counts WHERE sample_id IN (SELECT sample_id FROM samples WHERE half = 'odd')", "counts samples")

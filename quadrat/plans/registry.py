@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quadrat.functions.grouping import dealt
 from quadrat.sources.tables import scan_parquet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
+TASK_ROWS = 500_000  # line items that one task combines, about
+
 
 class Tables:
     """The given tables of one folder, and the study roles built from them."""
@@ -22,6 +26,12 @@ class Tables:
     def __getattr__(self, table: str) -> DataFrame:
         return scan_parquet(self.spark, self.folder, table)
 
+    @cached_property
+    def parts(self) -> int | None:
+        """Partitions of line items, or of what is made of each of them, with ``TASK_ROWS`` rows; None where the cores' tasks hold no more."""
+        rows = self.lineitem.count()
+        return -(-rows // TASK_ROWS) if rows > TASK_ROWS * self.spark.sparkContext.defaultParallelism else None
+
     def measures(self, units: int | None = None) -> DataFrame:
         """Long measurements: unit, param, treatment, time, value. ``units`` pools the users into that many units."""
         unit = F.col("user_id") if units is None else F.col("user_id") % units
@@ -34,15 +44,16 @@ class Tables:
 
     def counts(self) -> DataFrame:
         """Counts of taxa (brand and type of a part) in samples (suppliers)."""
-        lines = self.lineitem.groupBy(F.col("l_suppkey").alias("sample_id"), "l_partkey").agg(F.sum("l_quantity").alias("q"))
+        lines = dealt(self.lineitem, self.parts, "l_suppkey", "l_partkey").groupBy(F.col("l_suppkey").alias("sample_id"), "l_partkey").agg(
+            F.sum("l_quantity").alias("q"))
         taxa = self.part.select("p_partkey", F.concat_ws("_", "p_brand", "p_type").alias("taxon_id"))
-        return (lines.join(taxa, lines.l_partkey == taxa.p_partkey).groupBy("sample_id", "taxon_id")
-                .agg(F.sum("q").cast("long").alias("count")))
+        known = dealt(lines, self.parts, "l_partkey").join(taxa, F.col("l_partkey") == F.col("p_partkey")).select("sample_id", "taxon_id", "q")
+        return dealt(known, self.parts, "sample_id", "taxon_id").groupBy("sample_id", "taxon_id").agg(F.sum("q").cast("long").alias("count"))
 
     def part_counts(self) -> DataFrame:
         """The same at part level: a sparse matrix."""
-        return self.lineitem.groupBy(F.col("l_suppkey").alias("sample_id"), F.col("l_partkey").alias("taxon_id")).agg(
-            F.sum("l_quantity").cast("long").alias("count"))
+        return dealt(self.lineitem, self.parts, "l_suppkey", "l_partkey").groupBy(
+            F.col("l_suppkey").alias("sample_id"), F.col("l_partkey").alias("taxon_id")).agg(F.sum("l_quantity").cast("long").alias("count"))
 
     def taxonomy(self) -> DataFrame:
         return self.part.select(F.concat_ws("_", "p_brand", "p_type").alias("taxon_id"), F.lit("goods").alias("kingdom"),

@@ -19,6 +19,7 @@ from quadrat.operators import ordination as O
 from quadrat.operators import permutation as P
 from quadrat.operators import summary as S
 from quadrat.operators import wrangle as W
+from quadrat.plans import registry
 from quadrat.session import cut_lineage
 from quadrat.sources.tables import clean_keys, scan_tsv, write_tsv
 
@@ -300,3 +301,20 @@ def test_samples_without_values_form_no_pairs(spark, chunk):
 def test_ranges_do_not_follow_a_dominant_value(spark):
     df = spark.range(40_000).select(F.when(F.col("id") < 38_000, 0.0).otherwise(F.col("id").cast("double")).alias("x"))
     assert rank_cells(df, [], "x", hot_rows=100).select("_range").distinct().count() > 500
+
+
+def test_roll_up_in_more_partitions(spark, monkeypatch, tmp_path):
+    rows = [(s % 7 if s % 11 else None, s % 13 if s % 17 else None, float(s)) for s in range(300)]
+    spark.createDataFrame(rows, "l_suppkey long, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(p, f"B{p % 3}" if p % 5 else None, f"T{p % 2}") for p in [*range(13), 4]], "p_partkey long, p_brand string, p_type string").write.parquet(
+        f"{tmp_path}/part.parquet")
+    found = []
+    for task_rows in (500_000, 25):
+        monkeypatch.setattr(registry, "TASK_ROWS", task_rows)
+        t = registry.Tables(spark, str(tmp_path))
+        taxonomy = t.part.selectExpr("p_partkey AS taxon_id", "p_type AS phylum", "p_brand AS genus")
+        assert t.parts == (None if task_rows > 300 else 12)
+        out = K.tax_glom(t.part_counts(), taxonomy, "genus", ["phylum", "genus"], parts=t.parts)
+        sizes = t.part_counts().rdd.getNumPartitions()
+        found.append([sorted(map(str, df.collect())) for df in (out, t.part_counts(), t.counts())])
+    assert sizes == 12 and found[0] == found[1] and found[0][0]
