@@ -8,7 +8,7 @@ import xxhash
 from quadrat.llm.keep import kept
 
 #: Words that one Python worker remembers at most, and the bytes of the longest of them; then it starts anew.
-REMEMBER, LONG = 300_000, 100
+REMEMBER, LONG = 50_000, 100
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
