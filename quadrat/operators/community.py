@@ -488,8 +488,51 @@ def euclidean(df: DataFrame, sample: str = "sample_id", variable: str = "taxon_i
 def dist_pairs_join(first: DataFrame, second: DataFrame) -> DataFrame:
     """Two distance sets side by side for the pairs present in both.
 
-    The sets are sorted and merged: Spark guesses the pairs to be no more than the samples they come from, and a set sent to every task
-    would pass the driver.
+    Sets that know what they are made of are computed tile by tile beside each other, so that no pair is written. Others are sorted and
+    merged: Spark guesses the pairs to be no more than the samples they come from, and a set sent to every task would pass the driver.
     """
+    made = [getattr(df, "made_of", None) for df in (first, second)]
+    if all(m is not None and m.chunks == 1 for m in made) and first.schema["id_a"].dataType == second.schema["id_a"].dataType:
+        return _tiles_beside(*made, first.schema["id_a"].dataType)
     return first.select("id_a", "id_b", F.col("d").alias("d1")).hint("merge").join(
         second.select("id_a", "id_b", F.col("d").alias("d2")), ["id_a", "id_b"])
+
+
+def _tiles_beside(first: Cells, second: Cells, id_type: T.DataType) -> DataFrame:
+    """Both distances of every pair of samples that both sets of cells have, computed in one tile."""
+    sides = (first, second)
+    blocks = max(block_count(m.sizes.samples, m.sizes.cells) for m in sides)
+    packs = [packed(m.table.where(F.col("_id").isNotNull()).withColumn("_block", F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int")), ["_block"], id_type)
+             for m in sides]
+    columns = ("ids", *_PACKED)
+    one, other = (df.withColumnsRenamed({c: f"{c}{k}" for c in columns}) for k, df in enumerate(packs, 1))
+    made = stored(one.join(other, "_block"), "blocks")
+    met = crossed(made, blocks, ["_block"], F.col("_block_a") <= F.col("_block_b"))
+    schema = T.StructType([T.StructField("id_a", id_type), T.StructField("id_b", id_type), T.StructField("d1", T.DoubleType()), T.StructField("d2", T.DoubleType())])
+    metrics = [m.metric for m in sides]
+
+    def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [Blocks(["_block"], k) for k in (1, 2)]
+        for batch in batches:
+            for k in range(batch.num_rows):
+                yield from tile({c: batch.column(c)[k] for c in batch.schema.names}, held)
+
+    def tile(row: dict, held: list[Blocks]) -> Iterator[pa.RecordBatch]:
+        ids, at = [], []  # of both sides: the ids that both sets have, and where each set has them
+        for e in "ab":
+            mine, theirs = (row[f"ids{k}_{e}"].values for k in (1, 2))
+            place = pc.index_in(mine, value_set=theirs)
+            ids.append(mine.filter(place.is_valid()))
+            at.append((np.flatnonzero(place.is_valid().to_numpy(zero_copy_only=False)), place.drop_null().to_numpy()))
+        values, missing = [], []
+        for k in (0, 1):
+            a, b = (held[k].of(row, e) for e in "ab")
+            here = np.ix_(at[0][k], at[1][k])
+            values.append(distances(a, b, metrics[k])[here])
+            none = unknown(a, b, metrics[k])
+            missing.append(none[0][here] if none else np.zeros(values[k].shape, bool))
+        own = row["_block_a"].as_py() == row["_block_b"].as_py()
+        for ids_a, ids_b, *found in tile_pairs(*ids, own, [*values, *missing]):
+            yield pa.record_batch([ids_a, ids_b, *(pa.array(found[k], mask=found[k + 2]) for k in (0, 1))], names=schema.names)
+
+    return met.mapInArrow(tiles, schema)

@@ -65,6 +65,18 @@ def test_repeated_cells_add_up_and_null_taxa_are_one(spark):
     assert {r[:2]: r.d for r in K.bray_curtis(empty).collect()} == {(1, 2): None, (1, 3): 1.0, (2, 3): 1.0}
 
 
+def test_two_sets_side_by_side_write_no_pairs(spark):
+    m, w = rng.poisson(3, (14, 8)) + 1.0, rng.random((16, 3)) + 1
+    first = K.bray_curtis(cells_of(spark, m))
+    second = K.euclidean(cells_of(spark, np.vstack([np.zeros((2, 3)), w[2:]])))  # samples 2 to 15
+    joined = K.dist_pairs_join(first, second)
+    assert "Join Inner, (id_a" not in plan_of(joined) and "CartesianProduct" in plan_of(joined)
+    rows = joined.collect()
+    assert joined.columns == ["id_a", "id_b", "d1", "d2"] and len(rows) == 12 * 11 // 2
+    for r in rows:
+        assert r.d1 == pytest.approx(bray(m[r.id_a], m[r.id_b])) and r.d2 == pytest.approx(np.linalg.norm(w[r.id_a] - w[r.id_b]))
+
+
 @pytest.mark.parametrize("cells", [1, 3])
 def test_tile_sums_of_labels(cells):
     squares, low, high = rng.random((7, 5)), rng.integers(0, cells, (11, 7)), rng.integers(0, cells, (11, 5))
