@@ -77,6 +77,23 @@ def test_two_sets_side_by_side_write_no_pairs(spark):
         assert r.d1 == pytest.approx(bray(m[r.id_a], m[r.id_b])) and r.d2 == pytest.approx(np.linalg.norm(w[r.id_a] - w[r.id_b]))
 
 
+@pytest.mark.parametrize("block", [5, 1024])
+def test_mantel_of_cells_equals_mantel_of_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(P, "BLOCK", block)
+    m, w = rng.poisson(3, (14, 8)) + 1.0, rng.random((15, 3)) * 10 + 1
+    w[1:] += 1e6  # gaps are small beside the points themselves
+    w[3] = w[4]
+    first, second = K.bray_curtis(cells_of(spark, m)), K.euclidean(cells_of(spark, w))
+    with monkeypatch.context() as held:
+        held.setattr(P, "_stripes", None)  # matrices of pairs
+        got = P.mantel(first, second, perms=49).first()
+    want = P.mantel(first.select("*"), second.select("*"), perms=49).first()
+    assert got.r == pytest.approx(want.r, abs=1e-10) and (got.p, got.n_pairs) == (want.p, want.n_pairs) and got.n_pairs == 91
+    none = K.bray_curtis(spark.createDataFrame([(k, "a", float(k > 2)) for k in range(1, 6)], "sample_id long, taxon_id string, count double"))
+    with pytest.raises(Exception, match="need both distances"):
+        P.mantel(none, second, perms=9).collect()
+
+
 @pytest.mark.parametrize("cells", [1, 3])
 def test_tile_sums_of_labels(cells):
     squares, low, high = rng.random((7, 5)), rng.integers(0, cells, (11, 7)), rng.integers(0, cells, (11, 5))
