@@ -111,3 +111,18 @@ def test_labels_are_packed_in_less_than_a_byte(spark):
     assert len(rows) == 3 and sum(len(r.labels) for r in rows) < n * (perms + 1)
     found = np.concatenate([P.released(r.labels).reshape(perms + 1, 128) for r in sorted(rows, key=lambda r: r.block)], axis=1)[:, :n]
     assert (found[0] == np.arange(n) % 2).all() and (found.sum(axis=1) == n // 2).all()
+
+
+def test_bins_of_ordered_values(spark, monkeypatch):
+    monkeypatch.setattr(monotone, "_located", None)  # no value looks up its bin
+    x, y = rng.integers(0, 50, 500) / 10, rng.random(500)
+    rows = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double").repartition(3)
+    edges, wanted = np.array([-np.inf, 0.5, 1.0, 1.01, 3.0, 4.9, 7.0]), np.array([True, True, False, True, True, True, True])
+    got = monotone.count_bins(rows, edges, wanted)
+    cell = np.searchsorted(edges, x, "right") - 1
+    assert sorted(got["bin"]) == [0, 1, 3, 4, 5]  # bin 2 is not wanted, the last one is empty
+    for k, *values in zip(*(got[c] for c in ("bin", "w", "s", "lo", "hi"))):
+        here = cell == k
+        assert values == pytest.approx([here.sum(), y[here].sum(), x[here].min(), x[here].max()])
+    seen = wanted[cell]
+    assert got["low"].min() == y[seen].min() and got["high"].max() == y[seen].max()
