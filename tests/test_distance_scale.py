@@ -65,6 +65,15 @@ def test_repeated_cells_add_up_and_null_taxa_are_one(spark):
     assert {r[:2]: r.d for r in K.bray_curtis(empty).collect()} == {(1, 2): None, (1, 3): 1.0, (2, 3): 1.0}
 
 
+def test_line_items_are_shuffled_once_for_the_join_and_once_for_the_sum(spark):
+    t = Tables(spark, "none")
+    t.__dict__.update(parts=5, part=spark.createDataFrame([(1, "b", "x"), (2, "b", "x"), (3, "c", "y")], "p_partkey long, p_brand string, p_type string"),
+                      lineitem=spark.createDataFrame([(7, 1, 2.0), (7, 2, 3.0), (8, 3, 4.0), (8, 3, 1.0), (9, 4, 1.0)], "l_suppkey long, l_partkey long, l_quantity double"))
+    counts = t.counts()
+    assert sorted(map(tuple, counts.collect())) == [(7, "b_x", 5), (8, "c_y", 5)]
+    assert counts._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 2
+
+
 def test_two_sets_side_by_side_write_no_pairs(spark):
     m, w = rng.poisson(3, (14, 8)) + 1.0, rng.random((16, 3)) + 1
     first = K.bray_curtis(cells_of(spark, m))
