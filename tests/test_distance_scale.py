@@ -74,6 +74,15 @@ def test_line_items_are_shuffled_once_for_the_join_and_once_for_the_sum(spark):
     assert counts._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 2
 
 
+def test_rounding_equals_sparks(spark):
+    values = [0.0, -0.0, 1 / 1024, 3 / 1024, -1 / 1024, 0.5, 2.5e-9, 1.0000000005, 123456789.123456789, 1e30, -7e-10, math.pi, float("nan"), float("inf"), None]
+    values += [float(v) for v in rng.random(3000)] + [(2 * int(k) + 1) / 2 ** 11 for k in rng.integers(0, 1000, 300)]
+    df = spark.createDataFrame([(v,) for v in values], "d double")
+    got = rounded(df.withColumn("e", F.col("d")), 9, "e").select("d", "e", (F.round("d", 9) + F.lit(0.0)).alias("want")).collect()
+    assert "round(" in plan_of(rounded(df, 9, "d")) and "rint(" in plan_of(rounded(df, 9, "d")).lower()
+    assert all(repr(r.e) == repr(r.want) for r in got)
+
+
 def test_two_sets_side_by_side_write_no_pairs(spark):
     m, w = rng.poisson(3, (14, 8)) + 1.0, rng.random((16, 3)) + 1
     first = K.bray_curtis(cells_of(spark, m))
